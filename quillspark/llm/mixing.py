@@ -116,7 +116,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP,
         .withColumn("remainder", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("extra", ((F.col("start") + F.col("size") / 2.0) <= F.col("remainder")) & (F.col("whole") < cap))
         .withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("long")).otherwise(F.lit(0)).cast("long"))
-        .withColumn("share", F.least(F.col("start") / F.col("target"), F.lit(1.0)))
+        .withColumn("share", F.least(F.try_divide("start", "target"), F.lit(1.0)))
         .withColumn("position", F.when(F.col("copies") > 0, F.round(inverse_demand(F.col("share"), F.col("kind"), schedules), 9)))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "start", "kind", "position", *keep)
     )
@@ -132,7 +132,7 @@ def training_order(docs: DataFrame, schedules: Sequence[Sequence[float]] = SCHED
     target and text. Edge cases are as in :func:`mix_plan`.
     """
     plan = mix_plan(docs, schedules=schedules, keep=("text",), **options)
-    along = F.least((F.col("copy") * F.col("source_size") + F.col("start")) / F.col("target"), F.lit(1.0))
+    along = F.least(F.try_divide(F.col("copy") * F.col("source_size") + F.col("start"), F.col("target")), F.lit(1.0))
     return (
         plan.where(F.col("copies") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
