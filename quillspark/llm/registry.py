@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, pii, simhash, suffix, topk
+from . import chat, decontam, mixing, pii, simhash, suffix, topk, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicated(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_dedup, op4_chat_rotation, op5_pii_pseudonyms, op7_suffix_dedup, op8_topk_search, op9_decontaminate, op10_mix_sources)
+    f.__name__: f for f in (op3_simhash_dedup, op4_chat_rotation, op5_pii_pseudonyms, op6_html_wrapper, op7_suffix_dedup, op8_topk_search, op9_decontaminate, op10_mix_sources)
 }
 
 _OP4 = r"""
