@@ -41,7 +41,9 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class _Hashes(dict):
+class Words(dict):
+    """64-bit hashes of words, each made once."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
@@ -65,7 +67,7 @@ class Items:
     """A block of items, ready to be looked up."""
 
     def __init__(self, items: list[tuple[int, str]], words: int):
-        self.words, cache = words, _Hashes()
+        self.words, cache = words, Words()
         self.ids, self.sets = [], []
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.hashes: list[np.ndarray] = []
@@ -118,7 +120,7 @@ def common(few: np.ndarray, many: np.ndarray) -> np.ndarray:
     return few[many[at] == few]
 
 
-def contained(text: str | None, items: Items, least: float, cache: _Hashes) -> list[tuple[int, int, int]]:
+def contained(text: str | None, items: Items, least: float, cache: Words) -> list[tuple[int, int, int]]:
     """(item's number, its shingles, those in the text) of the items that the text contains."""
     w = words_of(text)
     if not w or not items.ids:
@@ -153,7 +155,7 @@ def contained(text: str | None, items: Items, least: float, cache: _Hashes) -> l
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
-    cache = _Hashes()
+    cache = Words()
     for batch in batches:
         rows: list[tuple] = []
         ids = batch.column("doc_id")
@@ -163,6 +165,24 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> It
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item_id", "n_shingles", "n_shared"])
 
 
+def _clean(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
+    cache = Words()
+    for batch in batches:
+        yield batch.filter(pa.array([not contained(t.as_py(), items, least, cache) for t in batch.column("text")], pa.bool_()))
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists of about ``block_words`` words; one list, maybe empty, at least."""
+    items = benchmark.where(F.col("text") != "").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 4
+    blocks = max(1, math.ceil(total / block_words))
+    if blocks > 1:
+        items, _ = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+    for b in range(blocks):
+        rows = items.where(F.col("block") == b) if blocks > 1 else items
+        yield [(r["item_id"], r["text"]) for r in rows.collect()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = CONTAINMENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment for every document that holds at least
     ``least`` of an item's distinct shingles.
@@ -173,22 +193,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, leas
     so a pair may repeat. Further columns are ignored. Runs actions on ``benchmark``.
     """
     spark = docs.sparkSession
-    items = benchmark.where(F.col("text") != "").select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
-    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / 4
-    blocks = max(1, math.ceil(total / block_words))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, n_shingles long, n_shared long"
 
-    def search(rows: list) -> DataFrame:
-        block = Items([(r["item_id"], r["text"]) for r in rows], words)
+    def search(rows: list[tuple[int, str]]) -> DataFrame:
+        block = Items(rows, words)
         return docs.select("doc_id", "text").mapInArrow(lambda it: _search(it, block, least), schema)
 
-    if blocks == 1:
-        found = search(items.collect())
-    else:
-        dealt, _ = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+    blocks = _blocks(benchmark, block_words)
+    found, rest = search(next(blocks)), next(blocks, None)
+    if rest is not None:
+        # one block at a time is in memory, so each is searched before the next is read
         out = new_path(spark, "contained")
-        for b in range(blocks):
-            search(dealt.where(F.col("block") == b).collect()).write.mode("append").parquet(out)
+        found.write.parquet(out)
+        while rest is not None:
+            search(rest).write.mode("append").parquet(out)
+            rest = next(blocks, None)
         found = spark.read.schema(schema).parquet(out)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = CONTAINMENT, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, whole, that contain no item by ``least`` or more; edge cases are as in
+    :func:`contaminated`. Nothing is shuffled."""
+    schema = docs.schema
+    for rows in _blocks(benchmark, block_words):
+        block = Items(rows, words)
+        docs = docs.mapInArrow(lambda it, block=block: _clean(it, block, least), schema)
+    return docs

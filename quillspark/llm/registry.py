@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, pii, simhash, suffix, topk, wrapper
+from . import chat, decontam, langid, mixing, pii, quality, simhash, suffix, topk, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, distance=2)
 
@@ -48,7 +56,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_dedup, op4_chat_rotation, op5_pii_pseudonyms, op6_html_wrapper, op7_suffix_dedup, op8_topk_search, op9_decontaminate, op10_mix_sources)
+    f.__name__: f for f in (op1_language_id, op2_quality_pu, op3_simhash_dedup, op4_chat_rotation, op5_pii_pseudonyms, op6_html_wrapper, op7_suffix_dedup, op8_topk_search, op9_decontaminate, op10_mix_sources)
 }
 
 _OP4 = r"""

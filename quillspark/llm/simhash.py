@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import cut
+from .decontam import Words, shingle_hashes
+from .store import cut, written
 
 SEED = 42
 CELL = 64
@@ -119,35 +120,38 @@ def near(x: np.ndarray, reach: int) -> np.ndarray:
     return x[:, None] ^ np.array(sorted(masks), np.uint64)[None, :]
 
 
-def _pairs(left: np.ndarray, right: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names)
+def _pairs(family: np.ndarray, left: np.ndarray, right: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(family, pa.int32()), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], ["s", *names])
 
 
 def _to_anchors(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = batch.column("fp").to_numpy().view(np.uint64)
+        fp, s = batch.column("fp").to_numpy().view(np.uint64), batch.column("s").to_numpy()
         for at in range(0, len(fp), 4096):
             x = fp[at : at + 4096]
             anchors = np.sort(home(near(x, reach)), axis=1)
             new = np.ones(anchors.shape, bool)
             new[:, 1:] = anchors[:, 1:] != anchors[:, :-1]
-            yield _pairs(anchors[new], np.repeat(x, new.sum(axis=1)), ["anchor", "fp"])
+            copies = new.sum(axis=1)
+            yield _pairs(np.repeat(s[at : at + 4096], copies), anchors[new], np.repeat(x, copies), ["anchor", "fp"])
 
 
 def _to_midpoints(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         anchor, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("anchor", "fp"))
+        s = batch.column("s").to_numpy()
         for at in range(0, len(fp), 4096):
             x = fp[at : at + 4096]
             points = near(x, reach)
             own = home(points) == anchor[at : at + 4096, None]
-            yield _pairs(points[own], np.repeat(x, own.sum(axis=1)), ["anchor", "fp"])
+            copies = own.sum(axis=1)
+            yield _pairs(np.repeat(s[at : at + 4096], copies), points[own], np.repeat(x, copies), ["anchor", "fp"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Links of each list ``fps`` as a star for each of its components."""
     for batch in batches:
-        lists = batch.column("fps")
+        lists, s = batch.column("fps"), batch.column("s").to_numpy()
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         sizes = np.diff(offsets)
         for n in np.unique(sizes[sizes > 1]):
@@ -161,20 +165,22 @@ def _compare(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
                         break
                     label = new
                 g, i = np.nonzero(label != np.arange(n))
-                yield _pairs(x[g, label[g, i]], x[g, i], ["u", "v"])
+                yield _pairs(s[rows][g], x[g, label[g, i]], x[g, i], ["u", "v"])
 
 
 def links(fps: DataFrame, distance: int = 2, cell: int = CELL) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints whose components are those of all pairs that
-    differ in ``distance`` bits or fewer. ``fps`` has distinct non-null longs in ``fp``."""
+    """Edges (s, u, v) between distinct fingerprints whose components are those of all pairs that
+    differ in ``distance`` bits or fewer. ``fps`` has distinct rows of s (int: which family of
+    fingerprints; only those of one family are compared) and fp (long), without nulls."""
     reach = (distance + 1) // 2
-    rows = fps.select("fp").mapInArrow(lambda it: _to_anchors(it, reach), "anchor long, fp long")
-    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(rows.join(counts, "anchor"), "anchors")
-    lists = lambda df: df.groupBy("anchor").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    rows = fps.select("s", "fp").mapInArrow(lambda it: _to_anchors(it, reach), "s int, anchor long, fp long")
+    counts = rows.groupBy("s", "anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(rows.join(counts, ["s", "anchor"]), "anchors")
+    lists = lambda df: df.groupBy("s", "anchor").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("s", "fps")
     small = lists(shared.where(F.col("n") <= cell))
-    large = lists(shared.where(F.col("n") > cell).select("anchor", "fp").mapInArrow(lambda it: _to_midpoints(it, reach), "anchor long, fp long"))
-    return small.unionByName(large).mapInArrow(lambda it: _compare(it, distance), "u long, v long")
+    large = shared.where(F.col("n") > cell).select("s", "anchor", "fp")
+    large = lists(large.mapInArrow(lambda it: _to_midpoints(it, reach), "s int, anchor long, fp long"))
+    return small.unionByName(large).mapInArrow(lambda it: _compare(it, distance), "s int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
@@ -187,9 +193,97 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     """
     fps = cut(fingerprints(docs, words), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tree = components(links(nodes, distance))
+    tree = components(links(nodes.withColumn("s", F.lit(0)), distance).select("u", "v"))
     member = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = cut(member, "members")
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(names, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: For texts that are similar without being nearly equal: families of fingerprints, words of a
+#: shingle, similarity, and hashes of a sketch.
+FAMILIES = 6
+SHINGLE = 5
+SIMILARITY = 0.8
+SKETCH = 128
+
+
+def _mixed(h: np.ndarray, family: int) -> np.ndarray:
+    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * (2 * family + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def _described(batches: Iterator[pa.RecordBatch], families: int, shingle: int, sketch: int) -> Iterator[pa.RecordBatch]:
+    """A text's 128-bit hash, a fingerprint of each family over its distinct words (weight: root of
+    the count), and the least hashes of its shingles."""
+    cache = Words()
+    for batch in batches:
+        out = []
+        for text in batch.column("text"):
+            text = text.as_py() or ""
+            w = text.lower().split()
+            hashes = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
+            distinct, counts = np.unique(hashes, return_counts=True)
+            weight = np.sqrt(counts).astype(np.float32)
+            fps = []
+            for f in range(families):
+                ones = np.zeros(64, np.float32)
+                for at in range(0, len(distinct), CHUNK):
+                    bits = np.unpackbits(_mixed(distinct[at : at + CHUNK], f).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones += weight[at : at + CHUNK] @ bits.astype(np.float32)
+                fps.append(int(np.packbits(ones * 2 > weight.sum(), bitorder="little").view("<i8")[0]))
+            least = np.unique(shingle_hashes(hashes, min(shingle, len(w))) >> np.uint64(32)) if w else np.empty(0, np.uint64)
+            digest = xxhash.xxh3_128_digest(text.encode())
+            out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), fps, least[:sketch].astype("<u4").tobytes()))
+        cols = list(zip(*out)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*kept, "t1", "t2", "fps", "sketch"])
+
+
+def resemblance(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
+    """Jaccard similarity of two sets of shingles by their least hashes: exact for sets that are
+    whole in their sketches. Two empty sets are equal."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    least = np.union1d(x, y)[:sketch] if max(len(x), len(y)) == sketch else np.union1d(x, y)
+    return float(np.isin(least, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean()) if len(least) else 1.0
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float, sketch: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = [resemblance(a.as_py(), b.as_py(), sketch) >= least for a, b in zip(batch.column("left"), batch.column("right"))]
+        yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def one_of_each_group(docs: DataFrame, families: int = FAMILIES, distance: int = 2, shingle: int = SHINGLE, least: float = SIMILARITY, sketch: int = SKETCH) -> DataFrame:
+    """``docs`` without near copies: of each group only the row with the smallest doc_id stays.
+
+    Groups are the components of verified links. Texts are linked if a fingerprint of one of the
+    ``families`` differs in ``distance`` bits or fewer (by anchor-point covering) and the sets of
+    their shingles of five words resemble each other by ``least`` or more, as sketches of their
+    ``sketch`` least hashes tell; sets no larger than that are compared exactly. Several families
+    are used since one fingerprint alone, at 2 bits, misses many pairs of similarity 0.8.
+
+    Equal texts are one group, so are all texts without a word (null among them). A null doc_id is
+    the greatest. All columns are kept. Empty table: no rows. Runs actions.
+    """
+    rows, _ = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    described = rows.select("_rid", "doc_id", "text").mapInArrow(lambda it: _described(it, families, shingle, sketch), f"_rid long, doc_id {kind}, t1 long, t2 long, fps array<long>, sketch binary")
+    described = cut(described, "described")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_rid"))
+    nodes = described.groupBy("t1", "t2").agg(best.alias("best"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+    nodes = cut(nodes.withColumn("node", F.col("best._rid")), "nodes")
+    keys = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
+    hubs = cut(keys.groupBy("s", "fp").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")), "hubs")
+    same = keys.join(hubs.where("n > 1"), ["s", "fp"]).where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    side = lambda end: hubs.select("s", F.col("fp").alias(end), F.col("hub").alias(f"{end}_hub"))
+    near = links(hubs, distance).distinct().join(side("u"), ["s", "u"]).join(side("v"), ["s", "v"]).select(F.col("u_hub").alias("u"), F.col("v_hub").alias("v"))
+    pairs = same.union(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    with_sketch = lambda end, name: nodes.select(F.col("node").alias(end), F.col("sketch").alias(name))
+    pairs = pairs.join(with_sketch("u", "left"), "u").join(with_sketch("v", "right"), "v").select("u", "v", "left", "right")
+    tree = components(pairs.mapInArrow(lambda it: _verified(it, least, sketch), "u long, v long"))
+    grouped = nodes.join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    return rows.join(grouped.select(F.col("best._rid").alias("_rid")), "_rid", "left_semi").drop("_rid")

@@ -69,7 +69,7 @@ def test_components_match_brute_force(spark, cell):
     want = brute_components(fps)
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     values = {signed(f) for _, f in fps}
-    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 2, cell=cell)
+    edges = simhash.links(spark.createDataFrame([(0, v) for v in values], "s int, fp long"), 2, cell=cell).select("u", "v")
     root = {r.node: r.root for r in components(edges).collect()}
     groups = {}
     for d, f in fps:
