@@ -1 +1 @@
-"""Package."""
+"""Operators from DataFrame to DataFrame."""

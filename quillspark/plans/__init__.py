@@ -1 +1 @@
-"""Package."""
+"""Analyses composed of operators, and the queries registered for them."""

@@ -1 +1 @@
-"""Package."""
+"""Readers, writers and materialised tables."""

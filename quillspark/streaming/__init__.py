@@ -1 +1 @@
-"""Package."""
+"""Incremental versions of the aggregates."""
