@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
         .withColumn("rate", capped.cast("double") / F.col("weight"))
         .withColumn("total", F.sum("source_size").over(everything))
         .withColumn("before", F.coalesce(F.sum(capped).over(by_rate.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("rest", F.sum("weight").over(by_rate.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_rate.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("level", F.max((F.col("total") - F.col("before")).cast("double") / F.col("rest")).over(everything))
         .select("source", "source_size", "kind", F.least(capped.cast("double"), F.col("level") * F.col("weight")).alias("target"))
     )
