@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import erfc_sql, rounded, stars
-from ..operators import agg, keyness, lookup, reshape, resample, stats, vectors
+from ..operators import agg, enrich, keyness, lookup, reshape, resample, stats, vectors
 from ..schema import BASELINE, LIKERT_TEXTS, SYSTEMS
-from . import analyses
+from . import analyses, export
 from . import surrogates as s
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,7 +287,6 @@ def unique_answer_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.unique_answers(s.words(spark, sf_dir)).withColumn("unique_pct", r6("unique_pct"))
 
 
-_QUESTIONS = ("click", "view", "purchase", "signup", "error", "none")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -468,3 +467,71 @@ def answer_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.createDataFrame([(v,) for v in _VALUES], "answer string")
     c = F.col("answer")
     return t.select("answer", tx.valid_option(c).alias("valid"), tx.strip_code(c).alias("strict"), tx.strip_code(c, strict=False).alias("loose"), tx.without_void(c).alias("void"))
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = s.table(spark, sf_dir, "customer")
+    role = F.when(F.col("c_custkey") % 3 == 0, enrich.TEACHERS[0]).when(F.col("c_custkey") % 3 == 1, enrich.TEACHERS[1]).otherwise("Altro")
+    return c.select(F.col("c_custkey").alias("respondent_id"), F.col("c_mktsegment").alias("Genere"), F.col("c_nationkey").cast("string").alias("Età"), F.lit("Laurea").alias("Istruzione"), F.col("c_name").alias("Regione"), role.alias("Ruolo"), F.lit("5").alias("Anni esp"), F.lit("x").alias("Ambito"), F.when(F.col("c_custkey") % 2 == 0, enrich.UPPER).otherwise("Primaria").alias("Grado"), F.lit("liceo").alias("SSSG"))
+
+
+@query(
+    "WITH p AS (SELECT c_custkey AS respondent_id, c_custkey % 3 < 2 AS teacher, 'Answer a questionnaire as this person would.' || chr(10) || '- Genere: ' || c_mktsegment || chr(10) || '- Età: ' || c_nationkey || chr(10) || '- Istruzione: Laurea' || chr(10) || '- Regione: ' || c_name || chr(10) "
+    "|| '- Ruolo: ' || CASE c_custkey % 3 WHEN 0 THEN 'Insegnante di sostegno' WHEN 1 THEN 'Insegnante curricolare' ELSE 'Altro' END || chr(10) AS head, CASE WHEN c_custkey % 2 = 0 THEN 'Secondaria di II grado' ELSE 'Primaria' END AS grade FROM customer), "
+    "t AS (SELECT respondent_id, head || CASE WHEN teacher THEN '- Anni esp: 5' || chr(10) || '- Ambito: x' || chr(10) || '- Grado: ' || grade || chr(10) ELSE '' END || CASE WHEN teacher AND grade LIKE '%II grado' THEN '- SSSG: liceo' || chr(10) ELSE '' END "
+    "|| 'Give one JSON object with the keys q1, q2 (a sentence each), q3 to q16 (one word each), q17' || CASE WHEN teacher THEN ', q18, q19' ELSE '' END || ' (one of " + "; ".join(tx.OPTIONS).replace("'", "''") + ").' || chr(10) AS prompt FROM p) "
+    "SELECT respondent_id, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM t"
+)
+def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = enrich.profile_prompt()
+    return _people(spark, sf_dir).select("respondent_id", F.length(p).cast("long").alias("n_chars"), F.md5(p).alias("prompt_md5"))
+
+
+@query()
+def simulate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.simulated(_people(spark, sf_dir), lambda: enrich.StubResponder(5))
+
+
+@query()
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.run_summary(simulate_answers(spark, sf_dir))
+
+
+@query()
+def enrich_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.labelled(s.table(spark, sf_dir, "conversations"), lambda: enrich.StubResponder(7))
+
+
+@query()
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embed(s.table(spark, sf_dir, "benchmark"), enrich.StubEmbedder)
+
+
+_RAW = "CASE o_orderkey % 5 WHEN 0 THEN '[\"positivo\", [\"gioia\", \"noia\"]]' WHEN 1 THEN '[\"neutro\", []]' WHEN 2 THEN '[\"strano\", [\"paura\"]]' WHEN 3 THEN 'x' ELSE '[\"negativo\", [\"paura\", \"paura\"]]' END"
+
+
+@query(
+    "WITH t AS (SELECT o_orderkey, o_orderkey % 5 AS k FROM orders) SELECT o_orderkey, k IN (0, 1, 4) AS valid, CASE k WHEN 0 THEN 'gioia' WHEN 1 THEN '' WHEN 2 THEN 'paura' WHEN 4 THEN 'paura,paura' END AS emotions, CASE k WHEN 0 THEN 'noia' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 4 THEN '' END AS unknown FROM t"
+)
+def enrichment_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("<think>so\n</think>```json\n"), F.expr(_RAW), F.lit("\n```"))
+    t = s.table(spark, sf_dir, "orders").select("o_orderkey", tx.unfenced(tx.strip_think(raw)).alias("raw"))
+    label = F.get_json_object("raw", "$[0]")
+    emotions = F.from_json(F.get_json_object("raw", "$[1]"), "array<string>")
+    return t.select("o_orderkey", tx.valid_enrichment(label, emotions).alias("valid"), F.array_join(tx.known_emotions(emotions), ",").alias("emotions"), F.array_join(tx.unknown_emotions(emotions), ",").alias("unknown"))
+
+
+@query(
+    f"WITH {s.PROFILE_SQL}, {s.LIKERT_SQL}, g AS (SELECT * FROM (VALUES ('Sostegno', 'Insegnante di sostegno'), ('Curricolare', 'Insegnante curricolare')) v(bin, role)), "
+    "i AS (SELECT DISTINCT bin, respondent_id FROM profile_s JOIN g ON trim(\"Ruolo\") = role WHERE dataset = 'human') "
+    "SELECT 'ruolo_2' AS subgroup, bin, question, dataset, count(*) AS n, round(avg(score), 6) + 0e0 AS mean FROM likert_s JOIN i USING (respondent_id) GROUP BY ALL"
+)
+def subgroup_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = lambda df: df.groupBy("question", "dataset").agg(F.count(F.lit(1)).alias("n"), r6("mean", F.avg("score")))
+    return analyses.subgroup_suite(reshape.with_subgroups(s.profile_table(spark, sf_dir)), s.likert(spark, sf_dir), means)
+
+
+@query(_PROPS.replace("SELECT question, dataset, option, n, round(", "SELECT question, dataset, option, prop, round(coalesce(sum(prop0) OVER (PARTITION BY question, dataset ORDER BY option ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) + 0e0 AS start FROM (SELECT question, dataset, option, CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w ELSE 0 END AS prop0, round(") .replace("WINDOW w AS (PARTITION BY question, dataset)", "WINDOW w AS (PARTITION BY question, dataset)) x"))
+def likert_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = export.stacked_likert(agg.proportions(s.likert(spark, sf_dir)), SYSTEMS)
+    return out.select("question", "dataset", "option", r6("prop"), r6("start"))
