@@ -23,6 +23,11 @@ def safe(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, f"^{SPACE}|{SPACE}$", "")
+
+
 def norm_ws(c: Column) -> Column:
     """Trimmed, each run of white space one space."""
     return F.trim(F.regexp_replace(safe(c), SPACE, " "))
@@ -49,7 +54,7 @@ def entropy_key(c: Column) -> Column:
 
 def answer_key(c: Column) -> Column:
     """The trimmed key, null where blank."""
-    return F.nullif(F.trim(safe(c)), F.lit(""))
+    return F.nullif(stripped(safe(c)), F.lit(""))
 
 
 def json_key(c: Column) -> Column:
@@ -100,12 +105,12 @@ def keyness_tokens(c: Column, stopwords: Sequence[str] = ()) -> Column:
 
 def split_tokens(c: Column) -> Column:
     """A space-joined token string as an array; missing: empty."""
-    return F.filter(F.split(F.trim(safe(c)), SPACE), lambda t: t != "")
+    return F.filter(F.split(stripped(safe(c)), SPACE), lambda t: t != "")
 
 
 def joined_list(c: Column) -> Column:
     """``a; b;`` to ``a, b``."""
-    return F.array_join(F.filter(F.transform(F.split(safe(c), ";"), lambda t: F.trim(t)), lambda t: t != ""), ", ")
+    return F.array_join(F.filter(F.transform(F.split(safe(c), ";"), lambda t: stripped(t)), lambda t: t != ""), ", ")
 
 
 def slug(c: Column) -> Column:
@@ -124,7 +129,7 @@ def recoded(c: Column, table: Mapping) -> Column:
 
 def bin_of(c: Column, table: Mapping[str, str]) -> Column:
     """A profile field recoded; blank, ``nan`` and ``none`` are null."""
-    t = F.trim(safe(c))
+    t = stripped(safe(c))
     return F.when(~F.lower(t).isin("", "nan", "none"), recoded(t, table))
 
 
@@ -155,7 +160,7 @@ def strip_code(c: Column, strict: bool = True) -> Column:
 
 
 def without_void(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "vuota", ""))
+    return stripped(F.regexp_replace(c, "vuota", ""))
 
 
 def non_teacher_default(answer: Column, role: Column, teachers: Sequence[str]) -> Column:
@@ -165,12 +170,12 @@ def non_teacher_default(answer: Column, role: Column, teachers: Sequence[str]) -
 
 def strip_think(c: Column) -> Column:
     """Without ``<think>`` sections and lines that are only such a tag."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?im)^\s*</?think>\s*$", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?im)^\s*</?think>\s*$", ""))
 
 
 def unfenced(c: Column) -> Column:
     """Without a code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(c), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
 def parsed(c: Column, schema: str) -> Column:
@@ -197,7 +202,7 @@ OPTIONS = tuple(f"{k}: {v}" for k, v in LIKERT_TEXTS.items()) + ("e: vuota",)
 def valid_option(c: Column) -> Column:
     """One of the options in any case, or a code (first word without trailing ``:`` or ``.``) that
     begins one; so ``:`` is accepted and ``vuota`` is not."""
-    low = F.lower(F.trim(safe(c)))
+    low = F.lower(stripped(safe(c)))
     code = F.regexp_replace(F.regexp_replace(F.substring_index(low, " ", 1), ":+$", ""), r"\.+$", "")
     begins = F.exists(F.array(*[F.lit(o) for o in OPTIONS]), lambda o: F.startswith(o, code))
     return (low != "") & (low.isin(*OPTIONS) | begins)
@@ -207,7 +212,7 @@ def valid_answers(columns: Sequence[Column], likert: Sequence[Column]) -> Column
     """All answers non-blank, the Likert ones options."""
     ok = F.lit(True)
     for c in [*columns, *likert]:
-        ok = ok & (F.trim(safe(c)) != "")
+        ok = ok & (stripped(safe(c)) != "")
     for c in likert:
         ok = ok & valid_option(c)
     return ok
