@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 HIDDEN = 8
 SEGMENT = 128
 COLUMNS = 2048
-#: Bounds of the training sample: documents in all, bytes of each, languages.
+#: Bounds of the training sample: documents in all, characters of each, languages.
 SAMPLE_DOCS = 1600
-SAMPLE_BYTES = 1536
+SAMPLE_CHARS = 1536
 LANGUAGES = 200
 TRAIN_LENGTH = 48
 TRAIN_BATCH = 256
@@ -253,7 +253,8 @@ def fitted(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS, step
     """Weights and language names learned from the text and lang of the rows ``usable`` holds for.
 
     The sample is bounded: ``sample_docs`` documents in all, spread evenly over the languages (the
-    LANGUAGES most frequent ones) by a hash of the text's first kilobyte, SAMPLE_BYTES of each.
+    LANGUAGES most frequent ones) by a hash of the text, a stretch of SAMPLE_CHARS of each from a
+    place that the hash tells.
     """
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.where(usable & F.col("lang").isNotNull())
@@ -264,8 +265,9 @@ def fitted(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS, step
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(share)
-    order = F.pmod(F.xxhash64(F.substring("text", 1, 1024)), F.lit(1 << 30))
-    found = rows.where(has_letter & (order < share * (1 << 30))).select("lang", order.alias("order"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    start = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)).cast("long")) + 1
+    found = rows.where(has_letter & (order < share * (1 << 30))).select("lang", order.alias("order"), F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     # a hash that many copies share may take in more than its share, so the bound is set again
     found = found.dropDuplicates(["lang", "text"]).orderBy("order", "lang").limit(2 * sample_docs).collect()
     names = sorted({r["lang"] for r in found})
