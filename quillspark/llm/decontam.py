@@ -45,7 +45,7 @@ class Words(dict):
     """64-bit hashes of words, each made once."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

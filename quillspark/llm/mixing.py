@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: One density for each weight of WEIGHTS: values at equally spaced knots over [0, 1].
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
