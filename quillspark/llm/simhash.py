@@ -111,11 +111,11 @@ def home(x: np.ndarray) -> np.ndarray:
     return x ^ fix(a) ^ (fix(b) << u(23)) ^ (HAMMING[HAMMING_OF[c]] << u(46))
 
 
-def near(x: np.ndarray, reach: int) -> np.ndarray:
-    """All words within ``reach`` bits of each word, one row a word."""
+def near(x: np.ndarray, reach: int, bits: int = 64) -> np.ndarray:
+    """All words of so many bits within ``reach`` bits of each word, one row a word."""
     masks = {0}
     for _ in range(reach):
-        masks |= {m ^ (1 << i) for m in masks for i in range(64)}
+        masks |= {m ^ (1 << i) for m in masks for i in range(bits)}
     masks = {m for m in masks if m.bit_count() <= reach}
     return x[:, None] ^ np.array(sorted(masks), np.uint64)[None, :]
 
@@ -124,25 +124,25 @@ def _pairs(family: np.ndarray, left: np.ndarray, right: np.ndarray, names: list[
     return pa.RecordBatch.from_arrays([pa.array(family, pa.int32()), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], ["s", *names])
 
 
-def _to_anchors(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+def _to_anchors(batches: Iterator[pa.RecordBatch], reach: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp, s = batch.column("fp").to_numpy().view(np.uint64), batch.column("s").to_numpy()
         for at in range(0, len(fp), 4096):
             x = fp[at : at + 4096]
-            anchors = np.sort(home(near(x, reach)), axis=1)
+            anchors = np.sort(home(near(x, reach, bits)), axis=1)
             new = np.ones(anchors.shape, bool)
             new[:, 1:] = anchors[:, 1:] != anchors[:, :-1]
             copies = new.sum(axis=1)
             yield _pairs(np.repeat(s[at : at + 4096], copies), anchors[new], np.repeat(x, copies), ["anchor", "fp"])
 
 
-def _to_midpoints(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+def _to_midpoints(batches: Iterator[pa.RecordBatch], reach: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         anchor, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("anchor", "fp"))
         s = batch.column("s").to_numpy()
         for at in range(0, len(fp), 4096):
             x = fp[at : at + 4096]
-            points = near(x, reach)
+            points = near(x, reach, bits)
             own = home(points) == anchor[at : at + 4096, None]
             copies = own.sum(axis=1)
             yield _pairs(np.repeat(s[at : at + 4096], copies), points[own], np.repeat(x, copies), ["anchor", "fp"])
@@ -168,18 +168,19 @@ def _compare(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Re
                 yield _pairs(s[rows][g], x[g, label[g, i]], x[g, i], ["u", "v"])
 
 
-def links(fps: DataFrame, distance: int = 2, cell: int = CELL) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, cell: int = CELL, bits: int = 64) -> DataFrame:
     """Edges (s, u, v) between distinct fingerprints whose components are those of all pairs that
     differ in ``distance`` bits or fewer. ``fps`` has distinct rows of s (int: which family of
-    fingerprints; only those of one family are compared) and fp (long), without nulls."""
+    fingerprints; only those of one family are compared) and fp (long, of ``bits`` bits), without
+    nulls."""
     reach = (distance + 1) // 2
-    rows = fps.select("s", "fp").mapInArrow(lambda it: _to_anchors(it, reach), "s int, anchor long, fp long")
+    rows = fps.select("s", "fp").mapInArrow(lambda it: _to_anchors(it, reach, bits), "s int, anchor long, fp long")
     counts = rows.groupBy("s", "anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(rows.join(counts, ["s", "anchor"]), "anchors")
     lists = lambda df: df.groupBy("s", "anchor").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("s", "fps")
     small = lists(shared.where(F.col("n") <= cell))
     large = shared.where(F.col("n") > cell).select("s", "anchor", "fp")
-    large = lists(large.mapInArrow(lambda it: _to_midpoints(it, reach), "s int, anchor long, fp long"))
+    large = lists(large.mapInArrow(lambda it: _to_midpoints(it, reach, bits), "s int, anchor long, fp long"))
     return small.unionByName(large).mapInArrow(lambda it: _compare(it, distance), "s int, u long, v long")
 
 
@@ -201,12 +202,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For texts that are similar without being nearly equal: families of fingerprints, words of a
-#: shingle, similarity, and hashes of a sketch.
-FAMILIES = 6
+#: For texts that are similar without being nearly equal: families of fingerprints, the bits of
+#: each (two Golay codes), words of a shingle, similarity, hashes of a sketch, and by how much a
+#: sketch may err. Two texts of similarity 0.8 differ in 3 of 46 bits on average, so one family
+#: finds two in five of such pairs, and all of them miss one in 150.
+FAMILIES = 10
+BITS = 46
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCH = 128
+SLACK = 0.16
 
 
 def _mixed(h: np.ndarray, family: int) -> np.ndarray:
@@ -229,11 +234,11 @@ def _described(batches: Iterator[pa.RecordBatch], families: int, shingle: int, s
             weight = np.sqrt(counts).astype(np.float32)
             fps = []
             for f in range(families):
-                ones = np.zeros(64, np.float32)
+                ones = np.zeros(BITS, np.float32)
                 for at in range(0, len(distinct), CHUNK):
-                    bits = np.unpackbits(_mixed(distinct[at : at + CHUNK], f).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    bits = np.unpackbits(_mixed(distinct[at : at + CHUNK], f).view(np.uint8).reshape(-1, 8), axis=1, count=BITS, bitorder="little")
                     ones += weight[at : at + CHUNK] @ bits.astype(np.float32)
-                fps.append(int(np.packbits(ones * 2 > weight.sum(), bitorder="little").view("<i8")[0]))
+                fps.append(int.from_bytes(np.packbits(ones * 2 > weight.sum(), bitorder="little").tobytes(), "little"))
             least = np.unique(shingle_hashes(hashes, min(shingle, len(w))) >> np.uint64(32)) if w else np.empty(0, np.uint64)
             digest = xxhash.xxh3_128_digest(text.encode())
             out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), fps, least[:sketch].astype("<u4").tobytes()))
@@ -252,8 +257,28 @@ def resemblance(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float, sketch: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that are similar enough, and, with ``whole`` false, those whose sketches can't tell."""
     for batch in batches:
-        ok = [resemblance(a.as_py(), b.as_py(), sketch) >= least for a, b in zip(batch.column("left"), batch.column("right"))]
+        whole = [max(len(a.as_py()), len(b.as_py())) < 4 * sketch for a, b in zip(batch.column("left"), batch.column("right"))]
+        ok = [resemblance(a.as_py(), b.as_py(), sketch) >= (least if w else least - SLACK) for a, b, w in zip(batch.column("left"), batch.column("right"), whole)]
+        out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(whole, pa.bool_())], ["u", "v", "whole"])
+        yield out.filter(pa.array(ok, pa.bool_()))
+
+
+def _shingles(text: str | None, n: int, cache: Words) -> np.ndarray:
+    w = (text or "").lower().split()
+    hashes = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
+    return np.unique(shingle_hashes(hashes, min(n, len(w)))) if w else np.empty(0, np.uint64)
+
+
+def _exact(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
+    cache = Words()
+    for batch in batches:
+        ok = []
+        for a, b in zip(batch.column("left"), batch.column("right")):
+            x, y = (_shingles(t.as_py(), shingle, cache) for t in (a, b))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(shared >= least * (len(x) + len(y) - shared))
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -261,10 +286,12 @@ def one_of_each_group(docs: DataFrame, families: int = FAMILIES, distance: int =
     """``docs`` without near copies: of each group only the row with the smallest doc_id stays.
 
     Groups are the components of verified links. Texts are linked if a fingerprint of one of the
-    ``families`` differs in ``distance`` bits or fewer (by anchor-point covering) and the sets of
-    their shingles of five words resemble each other by ``least`` or more, as sketches of their
-    ``sketch`` least hashes tell; sets no larger than that are compared exactly. Several families
-    are used since one fingerprint alone, at 2 bits, misses many pairs of similarity 0.8.
+    ``families`` differs in ``distance`` bits or fewer (by anchor-point covering) and the Jaccard
+    similarity of their sets of shingles of five words is ``least`` or more. That is checked
+    exactly: by sketches of the ``sketch`` least hashes where these hold the whole sets, else by the
+    texts, for the pairs that the sketches don't rule out. Several families are used since one
+    fingerprint alone, at 2 bits, misses many pairs of similarity 0.8. Texts that share a
+    fingerprint are compared with one of them, another one in each family.
 
     Equal texts are one group, so are all texts without a word (null among them). A null doc_id is
     the greatest. All columns are kept. Empty table: no rows. Runs actions.
@@ -277,13 +304,23 @@ def one_of_each_group(docs: DataFrame, families: int = FAMILIES, distance: int =
     nodes = described.groupBy("t1", "t2").agg(best.alias("best"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes.withColumn("node", F.col("best._rid")), "nodes")
     keys = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
-    hubs = cut(keys.groupBy("s", "fp").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")), "hubs")
+    hub = F.min_by("node", F.struct(F.xxhash64("node", "s"), "node"))
+    hubs = cut(keys.groupBy("s", "fp").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")), "hubs")
     same = keys.join(hubs.where("n > 1"), ["s", "fp"]).where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     side = lambda end: hubs.select("s", F.col("fp").alias(end), F.col("hub").alias(f"{end}_hub"))
-    near = links(hubs, distance).distinct().join(side("u"), ["s", "u"]).join(side("v"), ["s", "v"]).select(F.col("u_hub").alias("u"), F.col("v_hub").alias("v"))
-    pairs = same.union(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-    with_sketch = lambda end, name: nodes.select(F.col("node").alias(end), F.col("sketch").alias(name))
-    pairs = pairs.join(with_sketch("u", "left"), "u").join(with_sketch("v", "right"), "v").select("u", "v", "left", "right")
-    tree = components(pairs.mapInArrow(lambda it: _verified(it, least, sketch), "u long, v long"))
+    near = links(hubs, distance, bits=BITS).distinct().join(side("u"), ["s", "u"]).join(side("v"), ["s", "v"]).select(F.col("u_hub").alias("u"), F.col("v_hub").alias("v"))
+    pairs = cut(same.union(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+
+    def with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Pairs with what ``of`` (node, x) has of either side; of it, only what they name is dealt out."""
+        named = of.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi")
+        end = lambda node, name: named.select(F.col("node").alias(node), F.col("x").alias(name))
+        return pairs.join(end("u", "left"), "u").join(end("v", "right"), "v").select("u", "v", "left", "right")
+
+    sketched = with_both(pairs, nodes.select("node", F.col("sketch").alias("x"))).mapInArrow(lambda it: _verified(it, least, sketch), "u long, v long, whole boolean")
+    sketched = cut(sketched, "sketched")
+    unsure = sketched.where("NOT whole").select("u", "v")
+    exact = with_both(unsure, rows.select(F.col("_rid").alias("node"), F.col("text").alias("x"))).mapInArrow(lambda it: _exact(it, shingle, least), "u long, v long")
+    tree = components(sketched.where("whole").select("u", "v").unionByName(exact))
     grouped = nodes.join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return rows.join(grouped.select(F.col("best._rid").alias("_rid")), "_rid", "left_semi").drop("_rid")
