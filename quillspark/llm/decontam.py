@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +40,35 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Words(dict):
-    """64-bit hashes of words, each made once."""
+#: Words are hashed in pieces of so many.
+PIECE = 1 << 16
+_ODD = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            _POWERS[i] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, base, np.uint64)], dtype=np.uint64)
+    return _POWERS
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words without spaces: differences of one running sum over their bytes, each
+    moved to the same power."""
+    out = [np.empty(0, np.uint64)]
+    for at in range(0, len(words), PIECE):
+        data = np.frombuffer(" ".join(words[at : at + PIECE]).encode(), np.uint8)
+        up, down = _powers(len(data) + 1)
+        total = np.r_[np.uint64(0), np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64)]
+        ends = np.r_[np.flatnonzero(data == 32), len(data)]
+        starts = np.r_[0, ends[:-1] + 1]
+        h = (total[ends] - total[starts]) * down[starts]
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+        out.append(h ^ h >> np.uint64(29))
+    return np.concatenate(out)
 
 
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -67,7 +87,7 @@ class Items:
     """A block of items, ready to be looked up."""
 
     def __init__(self, items: list[tuple[int, str]], words: int):
-        self.words, cache = words, Words()
+        self.words = words
         self.ids, self.sets = [], []
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.hashes: list[np.ndarray] = []
@@ -79,7 +99,7 @@ class Items:
             at = len(self.ids)
             self.ids.append(item_id)
             self.sets.append((n, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}))
-            h = np.unique(shingle_hashes(np.array([cache[x] for x in w], np.uint64), n))
+            h = np.unique(shingle_hashes(word_hashes(w), n))
             self.hashes.append(h)
             if n < words or len(h) < FEW:
                 for x in h.tolist():
@@ -120,12 +140,12 @@ def common(few: np.ndarray, many: np.ndarray) -> np.ndarray:
     return few[many[at] == few]
 
 
-def contained(text: str | None, items: Items, least: float, cache: Words) -> list[tuple[int, int, int]]:
+def contained(text: str | None, items: Items, least: float) -> list[tuple[int, int, int]]:
     """(item's number, its shingles, those in the text) of the items that the text contains."""
     w = words_of(text)
     if not w or not items.ids:
         return []
-    hashes = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
+    hashes = word_hashes(w)
     found: set[int] = set()
     for n in {items.words, *items.short}:
         h = np.unique(shingle_hashes(hashes, n))
@@ -155,20 +175,18 @@ def contained(text: str | None, items: Items, least: float, cache: Words) -> lis
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
-    cache = Words()
     for batch in batches:
         rows: list[tuple] = []
         ids = batch.column("doc_id")
         for i, text in enumerate(batch.column("text")):
-            rows += [(i, items.ids[at], n, shared) for at, n, shared in contained(text.as_py(), items, least, cache)]
+            rows += [(i, items.ids[at], n, shared) for at, n, shared in contained(text.as_py(), items, least)]
         cols = list(zip(*rows)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item_id", "n_shingles", "n_shared"])
 
 
 def _clean(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
-    cache = Words()
     for batch in batches:
-        yield batch.filter(pa.array([not contained(t.as_py(), items, least, cache) for t in batch.column("text")], pa.bool_()))
+        yield batch.filter(pa.array([not contained(t.as_py(), items, least) for t in batch.column("text")], pa.bool_()))
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .decontam import Words, shingle_hashes
+from .decontam import shingle_hashes, word_hashes
 from .store import cut, written
 
 SEED = 42
@@ -223,13 +223,12 @@ def _mixed(h: np.ndarray, family: int) -> np.ndarray:
 def _described(batches: Iterator[pa.RecordBatch], families: int, shingle: int, sketch: int) -> Iterator[pa.RecordBatch]:
     """A text's 128-bit hash, a fingerprint of each family over its distinct words (weight: root of
     the count), and the least hashes of its shingles."""
-    cache = Words()
     for batch in batches:
         out = []
         for text in batch.column("text"):
             text = text.as_py() or ""
             w = text.lower().split()
-            hashes = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
+            hashes = word_hashes(w)
             distinct, counts = np.unique(hashes, return_counts=True)
             weight = np.sqrt(counts).astype(np.float32)
             fps = []
@@ -265,18 +264,16 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float, sketch: int) -> I
         yield out.filter(pa.array(ok, pa.bool_()))
 
 
-def _shingles(text: str | None, n: int, cache: Words) -> np.ndarray:
+def _shingles(text: str | None, n: int) -> np.ndarray:
     w = (text or "").lower().split()
-    hashes = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
-    return np.unique(shingle_hashes(hashes, min(n, len(w)))) if w else np.empty(0, np.uint64)
+    return np.unique(shingle_hashes(word_hashes(w), min(n, len(w)))) if w else np.empty(0, np.uint64)
 
 
 def _exact(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
-    cache = Words()
     for batch in batches:
         ok = []
         for a, b in zip(batch.column("left"), batch.column("right")):
-            x, y = (_shingles(t.as_py(), shingle, cache) for t in (a, b))
+            x, y = (_shingles(t.as_py(), shingle) for t in (a, b))
             shared = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(shared >= least * (len(x) + len(y) - shared))
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
