@@ -19,6 +19,7 @@ list of all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,49 +203,134 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For texts that are similar without being nearly equal: families of fingerprints, the bits of
-#: each (two Golay codes), words of a shingle, similarity, hashes of a sketch, and by how much a
-#: sketch may err. Two texts of similarity 0.8 differ in 3 of 46 bits on average, so one family
-#: finds two in five of such pairs, and all of them miss one in 150.
-FAMILIES = 10
-BITS = 46
+#: For texts that are similar without being nearly equal: words of a shingle, similarity, hashes of
+#: a sketch, and by how much a sketch may err. Common shingles are looked for in so many characters
+#: of the texts, and at most so many are kept.
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCH = 128
 SLACK = 0.16
+SAMPLE_CHARS = 64_000_000
+COMMON = 1 << 17
 
 
-def _mixed(h: np.ndarray, family: int) -> np.ndarray:
-    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * (2 * family + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
+def _shingles(text: str | None, n: int) -> np.ndarray:
+    w = (text or "").lower().split()
+    return np.unique(shingle_hashes(word_hashes(w), min(n, len(w)))) if w else np.empty(0, np.uint64)
 
 
-def _described(batches: Iterator[pa.RecordBatch], families: int, shingle: int, sketch: int) -> Iterator[pa.RecordBatch]:
-    """A text's 128-bit hash, a fingerprint of each family over its distinct words (weight: root of
-    the count), and the least hashes of its shingles."""
+def _listed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text"):
+            yield pa.RecordBatch.from_arrays([pa.array(_shingles(text.as_py(), shingle).view(np.int64))], ["h"])
+
+
+def common_shingles(rows: DataFrame, shingle: int, chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in three or more of a sample of the texts, sorted, and in how many. They only
+    say in which order shingles are taken, so what a sample lacks costs time but no pair."""
+    total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    sample = rows.where(F.pmod(F.xxhash64("_rid"), F.lit(1 << 20)) < int((1 << 20) * min(1, chars / max(1, total))))
+    found = sample.select("text").mapInArrow(lambda it: _listed(it, shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    top = found.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().to_numpy(np.int64).reshape(-1, 2)
+    h = top[:, 0].copy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], top[order, 1]
+
+
+def prefix(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a text's shingles in an order that is the same for all texts, rare ones before
+    common ones: so many that two sets of similarity ``least`` or more have one in common. Such sets
+    share least * n of the n shingles of either; the others are fewer than what is taken here."""
+    n = len(shingles)
+    known, counts = common
+    weight = np.zeros(n, np.int64)
+    if n and len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        weight = np.where(known[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, weight))][: n - math.ceil(least * n - 1e-9) + 1]
+
+
+def _described(batches: Iterator[pa.RecordBatch], shingle: int, least: float, sketch: int, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A text's 128-bit hash, how many shingles it has, the prefix and the least hashes of these."""
     for batch in batches:
         out = []
         for text in batch.column("text"):
             text = text.as_py() or ""
-            w = text.lower().split()
-            hashes = word_hashes(w)
-            distinct, counts = np.unique(hashes, return_counts=True)
-            weight = np.sqrt(counts).astype(np.float32)
-            fps = []
-            for f in range(families):
-                ones = np.zeros(BITS, np.float32)
-                for at in range(0, len(distinct), CHUNK):
-                    bits = np.unpackbits(_mixed(distinct[at : at + CHUNK], f).view(np.uint8).reshape(-1, 8), axis=1, count=BITS, bitorder="little")
-                    ones += weight[at : at + CHUNK] @ bits.astype(np.float32)
-                fps.append(int.from_bytes(np.packbits(ones * 2 > weight.sum(), bitorder="little").tobytes(), "little"))
-            least = np.unique(shingle_hashes(hashes, min(shingle, len(w))) >> np.uint64(32)) if w else np.empty(0, np.uint64)
+            h = _shingles(text, shingle)
             digest = xxhash.xxh3_128_digest(text.encode())
-            out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), fps, least[:sketch].astype("<u4").tobytes()))
-        cols = list(zip(*out)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            first = prefix(h, least, common).astype("<u8").tobytes()
+            out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), len(h), first, np.unique(h >> np.uint64(32))[:sketch].astype("<u4").tobytes()))
+        cols = list(zip(*out)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*kept, "t1", "t2", "fps", "sketch"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*kept, "t1", "t2", "n", "prefix", "sketch"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix, with its place there. Texts without a word share one key."""
+    for batch in batches:
+        for node, n, first in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix")):
+            key = np.frombuffer(first.as_py(), "<i8") if n else np.zeros(1, np.int64)
+            size = len(key)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(size, node)), pa.array(np.full(size, n)), pa.array(np.arange(size))], ["key", "node", "n", "at"])
+
+
+def _may_pair(n: np.ndarray, at: np.ndarray, n2: np.ndarray, at2: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets whose first common shingle is at these places can be similar enough."""
+    return np.minimum(n - at, n2 - at2) * (1 + least) >= least * (n + n2) - 1e-6
+
+
+def _members(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """The members of each group by size: node, n, at and, where the batch has it, root."""
+    lists = batch.column("members")
+    offsets, values = lists.offsets.to_numpy(), lists.values
+    cols = [values.field(i).to_numpy() for i in range(values.type.num_fields)]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        order = np.lexsort((cols[0][a:b], cols[1][a:b]))
+        yield tuple(c[a:b][order] for c in cols)
+
+
+def _uv(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (u, v))
+    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Of each group, pairs of a hub and the members that are no more than 1 / least its size; what
+    is larger has a hub of its own."""
+    for batch in batches:
+        u, v = [], []
+        for node, n, at in _members(batch):
+            i = 0
+            while i < len(n):
+                j = int(np.searchsorted(n, n[i] / least + 1e-6, "right"))
+                ok = _may_pair(n[i], at[i], n[i + 1 : j], at[i + 1 : j], least)
+                v.append(node[i + 1 : j][ok])
+                u.append(np.full(len(v[-1]), node[i]))
+                i = j
+        yield _uv(u, v)
+
+
+#: Pairs that are gathered before they are handed on.
+GATHERED = 1 << 20
+
+
+def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """All pairs of each group that may be similar enough and have different roots."""
+    for batch in batches:
+        u, v, held = [], [], 0
+        for node, n, at, root in _members(batch):
+            for i, j in enumerate(np.searchsorted(n, n / least + 1e-6, "right").tolist()):
+                ok = _may_pair(n[i], at[i], n[i + 1 : j], at[i + 1 : j], least) & (root[i + 1 : j] != root[i])
+                if ok.any():
+                    v.append(node[i + 1 : j][ok])
+                    u.append(np.full(len(v[-1]), node[i]))
+                    held += len(v[-1])
+                if held > GATHERED:
+                    yield _uv(u, v)
+                    u, v, held = [], [], 0
+        yield _uv(u, v)
 
 
 def resemblance(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
@@ -264,11 +350,6 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float, sketch: int) -> I
         yield out.filter(pa.array(ok, pa.bool_()))
 
 
-def _shingles(text: str | None, n: int) -> np.ndarray:
-    w = (text or "").lower().split()
-    return np.unique(shingle_hashes(word_hashes(w), min(n, len(w)))) if w else np.empty(0, np.uint64)
-
-
 def _exact(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -279,34 +360,30 @@ def _exact(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Ite
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def one_of_each_group(docs: DataFrame, families: int = FAMILIES, distance: int = 2, shingle: int = SHINGLE, least: float = SIMILARITY, sketch: int = SKETCH) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, sketch: int = SKETCH) -> DataFrame:
     """``docs`` without near copies: of each group only the row with the smallest doc_id stays.
 
-    Groups are the components of verified links. Texts are linked if a fingerprint of one of the
-    ``families`` differs in ``distance`` bits or fewer (by anchor-point covering) and the Jaccard
-    similarity of their sets of shingles of five words is ``least`` or more. That is checked
-    exactly: by sketches of the ``sketch`` least hashes where these hold the whole sets, else by the
-    texts, for the pairs that the sketches don't rule out. Several families are used since one
-    fingerprint alone, at 2 bits, misses many pairs of similarity 0.8. Texts that share a
-    fingerprint are compared with one of them, another one in each family.
+    Groups are the components of verified links. Texts are linked if the Jaccard similarity of their
+    sets of shingles of five words is ``least`` or more. Candidates share a shingle among the first
+    of either text (``prefix``), which any such pair does, however the texts differ. They are
+    checked exactly: by sketches of the ``sketch`` least hashes where these hold the whole sets,
+    else by the texts, for the pairs that the sketches don't rule out. Of texts that share such a
+    shingle, those of about one size are compared with one of them first; then every two of them
+    that are not in one component by that are compared with each other.
 
     Equal texts are one group, so are all texts without a word (null among them). A null doc_id is
     the greatest. All columns are kept. Empty table: no rows. Runs actions.
     """
     rows, _ = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    described = rows.select("_rid", "doc_id", "text").mapInArrow(lambda it: _described(it, families, shingle, sketch), f"_rid long, doc_id {kind}, t1 long, t2 long, fps array<long>, sketch binary")
-    described = cut(described, "described")
+    common = common_shingles(rows, shingle)
+    described = rows.select("_rid", "doc_id", "text").mapInArrow(lambda it: _described(it, shingle, least, sketch, common), f"_rid long, doc_id {kind}, t1 long, t2 long, n long, prefix binary, sketch binary")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_rid"))
-    nodes = described.groupBy("t1", "t2").agg(best.alias("best"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+    nodes = described.groupBy("t1", "t2").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "prefix", "sketch")))
     nodes = cut(nodes.withColumn("node", F.col("best._rid")), "nodes")
-    keys = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
-    hub = F.min_by("node", F.struct(F.xxhash64("node", "s"), "node"))
-    hubs = cut(keys.groupBy("s", "fp").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")), "hubs")
-    same = keys.join(hubs.where("n > 1"), ["s", "fp"]).where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
-    side = lambda end: hubs.select("s", F.col("fp").alias(end), F.col("hub").alias(f"{end}_hub"))
-    near = links(hubs, distance, bits=BITS).distinct().join(side("u"), ["s", "u"]).join(side("v"), ["s", "v"]).select(F.col("u_hub").alias("u"), F.col("v_hub").alias("v"))
-    pairs = cut(same.union(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    keys = nodes.select("node", "n", "prefix").mapInArrow(_keys, "key long, node long, n long, at long")
+    groups = cut(keys.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("members")).where(F.size("members") > 1), "groups")
+    stars = cut(groups.select("members").mapInArrow(lambda it: _stars(it, least), "u long, v long").distinct(), "pairs")
 
     def with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
         """Pairs with what ``of`` (node, x) has of either side; of it, only what they name is dealt out."""
@@ -314,10 +391,18 @@ def one_of_each_group(docs: DataFrame, families: int = FAMILIES, distance: int =
         end = lambda node, name: named.select(F.col("node").alias(node), F.col("x").alias(name))
         return pairs.join(end("u", "left"), "u").join(end("v", "right"), "v").select("u", "v", "left", "right")
 
-    sketched = with_both(pairs, nodes.select("node", F.col("sketch").alias("x"))).mapInArrow(lambda it: _verified(it, least, sketch), "u long, v long, whole boolean")
-    sketched = cut(sketched, "sketched")
-    unsure = sketched.where("NOT whole").select("u", "v")
-    exact = with_both(unsure, rows.select(F.col("_rid").alias("node"), F.col("text").alias("x"))).mapInArrow(lambda it: _exact(it, shingle, least), "u long, v long")
-    tree = components(sketched.where("whole").select("u", "v").unionByName(exact))
+    def verified(pairs: DataFrame) -> DataFrame:
+        sketched = with_both(pairs, nodes.select("node", F.col("sketch").alias("x"))).mapInArrow(lambda it: _verified(it, least, sketch), "u long, v long, whole boolean")
+        sketched = cut(sketched, "sketched")
+        unsure = sketched.where("NOT whole").select("u", "v")
+        exact = with_both(unsure, rows.select(F.col("_rid").alias("node"), F.col("text").alias("x"))).mapInArrow(lambda it: _exact(it, shingle, least), "u long, v long")
+        return cut(sketched.where("whole").select("u", "v").unionByName(exact), "links")
+
+    linked = verified(stars)
+    tree = cut(components(linked), "trees")
+    member = groups.select("key", F.inline("members")).join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = member.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "root")).alias("members"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
+    rest = mixed.select("members").mapInArrow(lambda it: _across(it, least), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
+    tree = components(linked.unionByName(verified(cut(rest, "pairs"))))
     grouped = nodes.join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return rows.join(grouped.select(F.col("best._rid").alias("_rid")), "_rid", "left_semi").drop("_rid")

@@ -110,3 +110,30 @@ def test_resemblance_is_exact_for_small_sets():
         a, b = (np.unique(rng.integers(0, 90, n)).astype("<u4") for _ in range(2))
         want = len(np.intersect1d(a, b)) / len(np.union1d(a, b)) if n else 1.0
         assert simhash.resemblance(a.tobytes(), b.tobytes()) == pytest.approx(want)
+
+
+def near_copies(kinds, n=12, seed=3):
+    """Texts and copies of these that differ in one block or in scattered words, at similarities
+    from about 0.7 to 0.95."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for kind in kinds:
+        for i in range(n):
+            w = [word() for _ in range(rnd.choice([60, 200, 900, 3000]))]
+            block = [word() for _ in range(int(len(w) * (0.05 + 0.35 * i / n)))]
+            copy = {"appended": w + block, "prepended": block + w, "truncated": w[: len(w) - len(block) * 2 // 3], "inserted": w[: len(w) // 3] + block + w[len(w) // 3 :]}
+            if kind == "scattered":
+                c = list(w)
+                for j in rnd.sample(range(len(c)), max(1, len(block) // 12)):
+                    c[j] = word()
+                copy[kind] = c
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(copy[kind]))]
+    return rows
+
+
+def test_near_copies_however_they_differ(spark):
+    rows = near_copies(["appended", "prepended", "truncated", "inserted", "scattered"])
+    got = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_kept(rows)
+    assert {r.doc_id for r in got} == want and len(rows) / 2 < len(want) < len(rows) - 20
