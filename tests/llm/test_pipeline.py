@@ -137,3 +137,19 @@ def test_near_copies_however_they_differ(spark):
     got = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_kept(rows)
     assert {r.doc_id for r in got} == want and len(rows) / 2 < len(want) < len(rows) - 20
+
+
+def test_copies_among_texts_of_the_same_words(spark):
+    """Shuffled lines of one text have equal fingerprints over words, and all share some shingles."""
+    rnd = random.Random(5)
+    lines = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(8)) for _ in range(20)]
+    rows = []
+    for _ in range(60):
+        own = lines[:]
+        rnd.shuffle(own)
+        rows.append((len(rows), "\n".join(own)))
+        if len(rows) % 3 == 1:  # the last line left out
+            rows.append((len(rows), "\n".join(own[:-1])))
+    got = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_kept(rows)
+    assert {r.doc_id for r in got} == want and len(rows) > len(want) > 50
