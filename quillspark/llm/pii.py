@@ -24,7 +24,7 @@ ROUNDS = 8
 KEY = "quillspark-pseudonyms-v1"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|\b(?i:password|passwd|pwd|token|secret|api_?key) ?[=:] ?[\"']?[A-Za-z0-9_+/-]{8,128}(?![A-Za-z0-9_+/-])"
+SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|\b(?i:password|passwd|pwd|token|secret|api_?key) ?[=:] ?[\"']?[A-Za-z0-9_+/-]{8,}(?![A-Za-z0-9_+/-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![A-Za-z0-9_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9_]|\.[0-9])"
 DATE = r"(?<![A-Za-z0-9_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![A-Za-z0-9_]|[./-][0-9])"
@@ -65,15 +65,17 @@ def permuted_pair(left: Column, right: Column, a: int, b: int, key: str, kind: s
 
 
 def _shifted(text: Column, other: Column, i: Column, key: str, kind: str) -> Column:
-    """Every letter and digit moved within its class, by what the other half says."""
+    """Every letter and digit moved within its class, by what the other half says, or its digest
+    if that is shorter: each character takes a hash of it."""
 
-    def move(c: Column, j: Column) -> Column:
+    def move(c: Column, j: Column, said: Column) -> Column:
         code = F.ascii(c)
-        add = _prf(key, kind, i, j, other)
+        add = _prf(key, kind, i, j, said)
         within = lambda low, n: F.char(F.lit(low) + F.pmod(code - F.lit(low) + add, F.lit(n)))
         return F.when(code.between(48, 57), within(48, 10)).when(code.between(65, 90), within(65, 26)).when(code.between(97, 122), within(97, 26)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), move), "")
+    said = F.when(F.length(other) > 64, F.sha2(other, 256)).otherwise(other)
+    return _let(said, lambda d: F.array_join(F.transform(F.split(text, ""), lambda c, j: move(c, j, d)), ""))
 
 
 def permuted_text(text: Column, key: str, kind: str) -> Column:

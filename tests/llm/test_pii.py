@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 import re
 
 import pytest
@@ -102,3 +103,20 @@ def test_forms_stay_valid_and_linked(spark):
     assert got[5].text.startswith("+49 ") and got[5].text.endswith(" v2.0.1 1.2.3 in 2020, 12345") and "1234567" not in got[5].text
     assert (got[6].text, got[6].n_found, got[7].text, got[8].text, got[8].n_found) == (None, 0, "", rows[7][1], 0) and got[1]._x == 7
     assert pii.pseudonymised(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_long_secrets(spark):
+    rnd = random.Random(1)
+    value = lambda n: "".join(rnd.choice("abcdefXYZ0123456789+/_-") for _ in range(n))
+    values = [value(n) for n in (8, 127, 128, 129, 130, 700, 701, 20000)]
+    values.append(values[5][:-1] + ("1" if values[5][-1] != "1" else "2"))
+    rows = [(i, f'x token = "{v}" y') for i, v in enumerate(values)]
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    classes = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+    for i, v in enumerate(values):
+        new = got[i].text[11:-3]
+        assert got[i].text == f'x token = "{new}" y' and got[i].n_replaced == 1
+        assert new != v and classes(new) == classes(v)
+        if len(v) <= 128:
+            assert new == text_of(v, "secret")
+    assert len({r.text for r in got.values()}) == len(values)
