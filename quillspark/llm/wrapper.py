@@ -6,8 +6,8 @@ trees whose matched nodes have matched parents). Summed over all pages of the ho
 template if the text right under it is mostly the same, and a varying slot otherwise. The host's
 content slot is the deepest node that holds most of the varying text outside of menus, headers,
 footers and the like; a page's text is what its node at that slot holds. Where a page marks an
-article itself, or has no node at the slot, its own marks decide; template nodes outside of a
-marked article are left out.
+article itself, or has no node at the slot, its own marks decide; template nodes are left out in
+either case, unless a marked article holds nothing else.
 
 Seeds and slots are sent to the executors if they are small together, and else are joined by host.
 """
@@ -294,10 +294,11 @@ class Wrapper:
         page = parse(html)
         number(page)
         marked = articles(page)
-        if marked:
-            return text_of(marked, set(), True)
-        pairs = self.aligned(page)
+        pairs = self.aligned(page) if self.template or self.slot is not None and not marked else []
         skip = {b.index for a, b in pairs if a.index in self.template and b.own_text() == self.texts[a.index] and not b.nodes()}
+        if marked:
+            # pages that are mostly copies of the seed are no template
+            return text_of(marked, skip, True) or text_of(marked, set(), True)
         slot = [b for a, b in pairs if a.index == self.slot]
         return text_of(slot or [page], skip, False)
 

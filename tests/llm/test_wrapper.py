@@ -54,3 +54,13 @@ def test_slots_of_unmarked_pages(spark, small):
     assert by[20] == by[22] == "" and by[21] == by[None] == "Title & more Onetwo three AB C four five"
     assert all(r.n_chars == len(r.text) for r in got)
     assert wrapper.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_template_inside_a_marked_article(spark):
+    page = "<html><body><article><p class=k>Read this on our app</p><h1>T{0}</h1><p>{1}</p><div><span>Tell a friend</span></div></article></body></html>"
+    rows = [(i, f"http://a/{i}", page.format(i, f"word{i} " * 20)) for i in range(8)]
+    rows += [(100 + i, f"http://same/{i}", page.format(1, "one text")) for i in range(4)]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"T{i} " + (f"word{i} " * 20).strip()
+    assert all(got[100 + i] == "Read this on our app T1 one text Tell a friend" for i in range(4))
