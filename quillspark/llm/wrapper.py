@@ -20,6 +20,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,7 +138,9 @@ def match(a: Node, b: Node, memo: dict) -> int:
         if a.shape == b.shape:
             memo[key] = size(a)
         elif len(x) * len(y) > MOST_CELLS:
-            memo[key] = 1 + sum(match(p, q, memo) for p, q in zip(x, y))
+            start, end = same_ends(x, y)
+            inner = last_row(x[start : len(x) - end], y[start : len(y) - end], memo)[-1]
+            memo[key] = 1 + sum(map(size, x[:start])) + sum(map(size, x[len(x) - end :])) + int(inner)
         else:
             memo[key] = 1 + table(x, y, memo)[-1][-1]
     return memo[key]
@@ -160,29 +163,67 @@ def table(x: list[Node], y: list[Node], memo: dict) -> list[list[int]]:
     return m
 
 
-def align(a: Node, b: Node, memo: dict, out: list[tuple[Node, Node]]) -> None:
-    """The pairs of a largest match."""
-    todo = [(a, b)]
+def same_ends(x: list[Node], y: list[Node]) -> tuple[int, int]:
+    """How many nodes at the start and at the end have the same shape; a largest match has them."""
+    most, start, end = min(len(x), len(y)), 0, 0
+    while start < most and x[start].shape == y[start].shape:
+        start += 1
+    while end < most - start and x[-1 - end].shape == y[-1 - end].shape:
+        end += 1
+    return start, end
+
+
+def last_row(x: list[Node], y: list[Node], memo: dict) -> np.ndarray:
+    """The last row of ``table``, with no more than one row held."""
+    kinds: dict[tuple, int] = {}
+    index = np.array([kinds.setdefault((q.tag, q.shape), len(kinds)) for q in y], np.int64)
+    first = [y[i] for i in np.unique(index, return_index=True)[1]]
+    row = np.zeros(len(y) + 1, np.int64)
+    for p in x:
+        w = np.array([match(p, q, memo) for q in first], np.int64)[index]
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))
+    return row
+
+
+def paired(x: list[Node], y: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """The pairs of children in a largest match. Long lists are halved where the matches of both
+    halves are largest together, so no table of all cells is held."""
+    out, todo = [], [(x, y)]
     while todo:
-        a, b = todo.pop()
-        if a.tag != b.tag:
-            continue
-        out.append((a, b))
-        x, y = a.nodes(), b.nodes()
-        if a.shape == b.shape or len(x) * len(y) > MOST_CELLS:
-            todo += list(zip(x, y))
-            continue
+        x, y = todo.pop()
+        if len(x) * len(y) > MOST_CELLS:
+            start, end = same_ends(x, y)
+            out += list(zip(x[:start], y[:start])) + list(zip(x[len(x) - end :], y[len(y) - end :]))
+            x, y = x[start : len(x) - end], y[start : len(y) - end]
+            if len(x) * len(y) > MOST_CELLS and len(x) > 1:
+                half = len(x) // 2
+                at = int(np.argmax(last_row(x[:half], y, memo) + last_row(x[:half - 1 : -1], y[::-1], memo)[::-1]))
+                todo += [(x[:half], y[:at]), (x[half:], y[at:])]
+                continue
         m = table(x, y, memo)
         i, j = len(x), len(y)
         while i and j:
             w = match(x[i - 1], y[j - 1], memo)
             if w and m[i][j] == m[i - 1][j - 1] + w:
-                todo.append((x[i - 1], y[j - 1]))
+                out.append((x[i - 1], y[j - 1]))
                 i, j = i - 1, j - 1
             elif m[i][j] == m[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
+    return out
+
+
+def align(a: Node, b: Node, memo: dict, out: list[tuple[Node, Node]]) -> None:
+    """The pairs of a largest match."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if a.tag != b.tag:
+            continue
+        out.append((a, b))
+        x, y = a.nodes(), b.nodes()
+        todo += list(zip(x, y)) if a.shape == b.shape else paired(x, y, memo)
 
 
 def boilerplate(node: Node, in_article: bool) -> bool:

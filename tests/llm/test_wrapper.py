@@ -64,3 +64,31 @@ def test_template_inside_a_marked_article(spark):
     for i in range(8):
         assert got[i] == f"T{i} " + (f"word{i} " * 20).strip()
     assert all(got[100 + i] == "Read this on our app T1 one text Tell a friend" for i in range(4))
+
+
+def test_long_pages_align_like_short_ones(monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    kids = ["<p>a</p>", "<div><b>b</b></div>", "<ul><li>1<li>2</ul>", "<h2>h</h2>", "<div><p>x</p><b>y</b></div>"]
+    flat = lambda n: "<div>" + "".join(rnd.choice(kids) for _ in range(n)) + "</div>"
+    pages = [flat(n) for n in (0, 1, 7, 30, 45)]
+    trees = [wrapper.parse(p) for p in pages]
+    for t in trees:
+        wrapper.number(t)
+    want = {(i, j): wrapper.match(a, b, {}) for i, a in enumerate(trees) for j, b in enumerate(trees)}
+    monkeypatch.setattr(wrapper, "MOST_CELLS", 4)
+    for (i, j), n in want.items():
+        pairs = []
+        wrapper.align(trees[i], trees[j], {}, pairs)
+        assert wrapper.match(trees[i], trees[j], {}) == len(pairs) == n
+        own = {id(b): a.index for a, b in pairs}
+        at = [own[id(k)] for k in trees[j].nodes()[0].nodes() if id(k) in own]
+        assert at == sorted(set(at))
+    monkeypatch.undo()
+    body = "".join(rnd.choice(kids) for _ in range(2000))
+    a, b = wrapper.parse(f"<div>{body}<i>z</i></div>"), wrapper.parse(f"<div><h1>new</h1>{body}<u>w</u></div>")
+    wrapper.number(a), wrapper.number(b)
+    pairs = []
+    wrapper.align(a, b, {}, pairs)
+    assert len(pairs) == wrapper.match(a, b, {}) == wrapper.size(a) - 1
