@@ -1,10 +1,9 @@
 """Removal of every byte under a 200-byte string that occurs more than once.
 
-Prefix doubling over positions: a position's rank says which string of the present length starts
-there (or lies around it); pairs of (rank, what the string grows by) are grouped by Spark into
-ranks of a greater length, and a position stops as soon as its rank is unique, as the string can
-then have no second occurrence, or its string covers the threshold. Ranks are hashes, as only
-their equality matters here. The lengths are 40, 181 and 200 bytes.
+Windows of fixed lengths are hashed and grouped by Spark, in place of prefix doubling: a rank is a
+hash of the bytes of a window, as only equality matters here, and is not formed from pairs of
+earlier ranks. A position stops as soon as its rank is unique, as the string can then have no
+second occurrence, or its string covers the threshold. The lengths are 40, 181 and 200 bytes.
 
 Ranking every position of a corpus would move it many times over. So only synchronizing positions
 are ranked at first: the position, among the first 161 of each 200-byte window, whose 8 bytes
