@@ -20,7 +20,7 @@ list of all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontam import shingle_hashes, word_hashes
-from .store import cut, written
+from .store import cut, dropped, unused, written
 
 SEED = 42
 CELL = 64
@@ -53,12 +53,17 @@ def fingerprint(text: bytes | None, words: int) -> int:
         starts, ends = starts[: len(w) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())], dtype="<u8")
+    pieces = (np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())], dtype="<u8") for at in range(0, len(starts), CHUNK))
+    return majority(pieces, len(starts))
+
+
+def majority(pieces: Iterable[np.ndarray], n: int) -> int:
+    """The bits that are set in more than half of n hashes."""
+    ones = np.zeros(64, np.int64)
+    for h in pieces:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -204,14 +209,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
 
 
 #: For texts that are similar without being nearly equal: words of a shingle, similarity, hashes of
-#: a sketch, and by how much a sketch may err. Common shingles are looked for in so many characters
+#: a sketch, and by how much a sketch may err (seven standard deviations: one pair in 10**11). Common shingles are looked for in so many characters
 #: of the texts, and at most so many are kept.
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCH = 128
-SLACK = 0.16
+SLACK = 0.25
 SAMPLE_CHARS = 64_000_000
 COMMON = 1 << 17
+#: Words of 64 bits in the bitmap of a set of shingles.
+BITMAP = 8
 
 
 def _shingles(text: str | None, n: int) -> np.ndarray:
@@ -229,7 +236,7 @@ def common_shingles(rows: DataFrame, shingle: int, chars: int = SAMPLE_CHARS) ->
     """Shingles found in three or more of a sample of the texts, sorted, and in how many. They only
     say in which order shingles are taken, so what a sample lacks costs time but no pair."""
     total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    sample = rows.where(F.pmod(F.xxhash64("_rid"), F.lit(1 << 20)) < int((1 << 20) * min(1, chars / max(1, total))))
+    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int((1 << 20) * min(1, chars / max(1, total))))
     found = sample.select("text").mapInArrow(lambda it: _listed(it, shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     top = found.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().to_numpy(np.int64).reshape(-1, 2)
     h = top[:, 0].copy().view(np.uint64)
@@ -250,29 +257,52 @@ def prefix(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndar
     return shingles[np.lexsort((shingles, weight))][: n - math.ceil(least * n - 1e-9) + 1]
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """64 * BITMAP parities: bit i says whether an odd number of the shingles falls to it. A shingle
+    that only one of two sets has changes one bit, so the bitmaps of two sets differ in no more bits
+    than the sets in shingles."""
+    at = (shingles >> np.uint64(17)).astype(np.int64) % (64 * BITMAP)
+    odd = np.bincount(at, minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def _described(batches: Iterator[pa.RecordBatch], shingle: int, least: float, sketch: int, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A text's 128-bit hash, how many shingles it has, the prefix and the least hashes of these."""
+    """The 128-bit hash of a text's set of shingles, how many there are, the prefix, the least hashes,
+    the bitmap and the fingerprint of these."""
     for batch in batches:
         out = []
         for text in batch.column("text"):
             text = text.as_py() or ""
             h = _shingles(text, shingle)
-            digest = xxhash.xxh3_128_digest(text.encode())
+            digest = xxhash.xxh3_128_digest(h.tobytes())
+            fp = np.uint64(majority((h[at : at + CHUNK].astype("<u8") for at in range(0, len(h), CHUNK)), len(h)))
             first = prefix(h, least, common).astype("<u8").tobytes()
-            out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), len(h), first, np.unique(h >> np.uint64(32))[:sketch].astype("<u4").tobytes()))
-        cols = list(zip(*out)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), len(h), first, np.unique(h >> np.uint64(32))[:sketch].astype("<u4").tobytes(), bitmap(h).tobytes(), fp.view(np.int64).item()))
+        cols = list(zip(*out)) or [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
         kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*kept, "t1", "t2", "n", "prefix", "sketch"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*kept, "t1", "t2", "n", "prefix", "sketch", "bits", "fp"])
+
+
+#: Rows that are gathered before they are handed on.
+GATHERED = 1 << 18
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix, with its place there. Texts without a word share one key."""
+    """A row for each shingle of a prefix, with its place there, and the other columns. Texts without
+    a word share one key."""
     for batch in batches:
-        for node, n, first in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix")):
-            key = np.frombuffer(first.as_py(), "<i8") if n else np.zeros(1, np.int64)
-            size = len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(size, node)), pa.array(np.full(size, n)), pa.array(np.arange(size))], ["key", "node", "n", "at"])
+        kept = [c for c in batch.schema.names if c != "prefix"]
+        first = [np.frombuffer(x.as_py(), "<i8") if n else np.zeros(1, np.int64) for x, n in zip(batch.column("prefix"), batch.column("n").to_pylist())]
+        sizes = np.array([len(x) for x in first], np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GATHERED, "right")))
+            row = pa.array(np.repeat(np.arange(at, to), sizes[at:to]))
+            place = np.arange(int(sizes[at:to].sum())) - np.repeat(ends[at:to] - sizes[at:to] - (ends[at - 1] if at else 0), sizes[at:to])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first[at:to])), *(batch.column(c).take(row) for c in kept), pa.array(place)], ["key", *kept, "at"])
+            at = to
 
 
 def _may_pair(n: np.ndarray, at: np.ndarray, n2: np.ndarray, at2: np.ndarray, least: float) -> np.ndarray:
@@ -281,10 +311,10 @@ def _may_pair(n: np.ndarray, at: np.ndarray, n2: np.ndarray, at2: np.ndarray, le
 
 
 def _members(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-    """The members of each group by size: node, n, at and, where the batch has it, root."""
+    """The members of each group by size: node, n, at and, where the batch has them, root and bits."""
     lists = batch.column("members")
     offsets, values = lists.offsets.to_numpy(), lists.values
-    cols = [values.field(i).to_numpy() for i in range(values.type.num_fields)]
+    cols = [np.frombuffer(b"".join(values.field(i).to_pylist()), "<u8").reshape(-1, BITMAP) if values.type.field(i).name == "bits" else values.field(i).to_numpy() for i in range(values.type.num_fields)]
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         order = np.lexsort((cols[0][a:b], cols[1][a:b]))
         yield tuple(c[a:b][order] for c in cols)
@@ -312,17 +342,18 @@ def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield _uv(u, v)
 
 
-#: Pairs that are gathered before they are handed on.
-GATHERED = 1 << 20
-
-
 def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """All pairs of each group that may be similar enough and have different roots."""
+    """All pairs of each group that may be similar enough and have different roots. Sets of a and b
+    shingles that share least of all differ in no more than (a + b) * (1 - least) / (1 + least)."""
     for batch in batches:
         u, v, held = [], [], 0
-        for node, n, at, root in _members(batch):
+        for node, n, at, root, bits in _members(batch):
             for i, j in enumerate(np.searchsorted(n, n / least + 1e-6, "right").tolist()):
                 ok = _may_pair(n[i], at[i], n[i + 1 : j], at[i + 1 : j], least) & (root[i + 1 : j] != root[i])
+                if ok.any():
+                    some = np.flatnonzero(ok)
+                    apart = np.bitwise_count(bits[i + 1 : j][some] ^ bits[i]).sum(axis=1)
+                    ok[some] = apart * (1 + least) <= (n[i] + n[i + 1 : j][some]) * (1 - least) + 1e-6
                 if ok.any():
                     v.append(node[i + 1 : j][ok])
                     u.append(np.full(len(v[-1]), node[i]))
@@ -360,30 +391,42 @@ def _exact(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Ite
         yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, sketch: int = SKETCH) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, sketch: int = SKETCH, distance: int = 2) -> DataFrame:
     """``docs`` without near copies: of each group only the row with the smallest doc_id stays.
 
     Groups are the components of verified links. Texts are linked if the Jaccard similarity of their
-    sets of shingles of five words is ``least`` or more. Candidates share a shingle among the first
-    of either text (``prefix``), which any such pair does, however the texts differ. They are
-    checked exactly: by sketches of the ``sketch`` least hashes where these hold the whole sets,
-    else by the texts, for the pairs that the sketches don't rule out. Of texts that share such a
-    shingle, those of about one size are compared with one of them first; then every two of them
-    that are not in one component by that are compared with each other.
-
-    Equal texts are one group, so are all texts without a word (null among them). A null doc_id is
-    the greatest. All columns are kept. Empty table: no rows. Runs actions.
+    sets of shingles of five words is ``least`` or more; every pair is checked exactly, by sketches
+    of the ``sketch`` least hashes where these hold the whole sets, else by the texts.
+
+    Candidates come in two rounds. First, texts whose SimHash fingerprints differ in ``distance``
+    bits or fewer, found at the anchors, and of the texts that share one of their first shingles
+    (``prefix``) a hub of about their size with each. Then every two texts that share such a
+    shingle, which any similar pair does, however the texts differ, that are not in one component by
+    the first round, and that their bitmaps don't rule out; those bound the difference from below,
+    so no similar pair is lost.
+
+    Texts with equal sets of shingles are one group, so are all texts without a word (null among
+    them). A null doc_id is the greatest. All columns are kept. Empty table: no rows. Runs actions.
     """
-    rows, _ = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    spark = docs.sparkSession
+    rid = unused("_rid", docs.columns)
+    rows, _ = written(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    common = common_shingles(rows, shingle)
-    described = rows.select("_rid", "doc_id", "text").mapInArrow(lambda it: _described(it, shingle, least, sketch, common), f"_rid long, doc_id {kind}, t1 long, t2 long, n long, prefix binary, sketch binary")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_rid"))
-    nodes = described.groupBy("t1", "t2").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "prefix", "sketch")))
-    nodes = cut(nodes.withColumn("node", F.col("best._rid")), "nodes")
-    keys = nodes.select("node", "n", "prefix").mapInArrow(_keys, "key long, node long, n long, at long")
-    groups = cut(keys.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("members")).where(F.size("members") > 1), "groups")
-    stars = cut(groups.select("members").mapInArrow(lambda it: _stars(it, least), "u long, v long").distinct(), "pairs")
+    slim = rows.select(F.col(rid).alias("rid"), "doc_id", "text")
+    common = common_shingles(slim, shingle)
+    described = slim.mapInArrow(lambda it: _described(it, shingle, least, sketch, common), f"rid long, doc_id {kind}, t1 long, t2 long, n long, prefix binary, sketch binary, bits binary, fp long")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid"))
+    described, described_at = written(described, "described")
+    nodes = described.groupBy("t1", "t2").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "prefix", "sketch", "bits", "fp")))
+    nodes, nodes_at = written(nodes.withColumn("node", F.col("best.rid")), "nodes")
+    dropped(spark, described_at)
+    member_of = "node long, n long"
+    keys = nodes.select("node", "n", "prefix").mapInArrow(_keys, f"key long, {member_of}, at long")
+    groups, groups_at = written(keys.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("members")).where(F.size("members") > 1).select("members"), "groups")
+    stars = groups.mapInArrow(lambda it: _stars(it, least), "u long, v long")
+    texts = slim.select(F.col("rid").alias("node"), F.col("text").alias("x"))
+    stars, stars_at = written(stars.unionByName(_fingerprint_pairs(nodes.select("node", "fp"), distance)).distinct(), "pairs")
+    dropped(spark, groups_at)
 
     def with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
         """Pairs with what ``of`` (node, x) has of either side; of it, only what they name is dealt out."""
@@ -395,14 +438,27 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, least: float = SI
         sketched = with_both(pairs, nodes.select("node", F.col("sketch").alias("x"))).mapInArrow(lambda it: _verified(it, least, sketch), "u long, v long, whole boolean")
         sketched = cut(sketched, "sketched")
         unsure = sketched.where("NOT whole").select("u", "v")
-        exact = with_both(unsure, rows.select(F.col("_rid").alias("node"), F.col("text").alias("x"))).mapInArrow(lambda it: _exact(it, shingle, least), "u long, v long")
+        exact = with_both(unsure, texts).mapInArrow(lambda it: _exact(it, shingle, least), "u long, v long")
         return cut(sketched.where("whole").select("u", "v").unionByName(exact), "links")
 
     linked = verified(stars)
     tree = cut(components(linked), "trees")
-    member = groups.select("key", F.inline("members")).join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = member.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "root")).alias("members"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
+    rooted = nodes.join(tree, "node", "left").select("node", "n", "prefix", "bits", F.coalesce("root", "node").alias("root"))
+    member = rooted.mapInArrow(_keys, f"key long, {member_of}, bits binary, root long, at long")
+    mixed = member.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "root", "bits")).alias("members"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
     rest = mixed.select("members").mapInArrow(lambda it: _across(it, least), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
     tree = components(linked.unionByName(verified(cut(rest, "pairs"))))
     grouped = nodes.join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    return rows.join(grouped.select(F.col("best._rid").alias("_rid")), "_rid", "left_semi").drop("_rid")
+    kept = cut(grouped.select(F.col("best.rid").alias(rid)), "kept")
+    dropped(spark, nodes_at, stars_at)
+    return rows.join(kept, rid, "left_semi").drop(rid)
+
+
+def _fingerprint_pairs(fps: DataFrame, distance: int) -> DataFrame:
+    """Pairs (u, v) of the texts (node, fp) that share a fingerprint, each with the first of these, and
+    of the first ones of two linked fingerprints."""
+    first = fps.groupBy("fp").agg(F.min("node").alias("first"))
+    same = fps.join(first, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    named = lambda fp, node: first.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    near = links(first.select("fp", F.lit(0).alias("s")), distance).select(F.col("u").alias("a"), F.col("v").alias("b")).join(named("a", "x"), "a").join(named("b", "y"), "b")
+    return same.unionByName(near.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))

@@ -1,22 +1,31 @@
 """Tables in the folder that driver and executors share.
 
 Long plans are cut by writing a table there and reading it again: unlike a local checkpoint it
-outlives the executors that wrote it.
+outlives the executors that wrote it. Once a table is written, the shuffle files behind it are of no
+more use, so Spark is told to delete them at the end of the write.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a new temporary one."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a new temporary one if driver
+    and executors are one process (local mode, as in tests), else an error: on a cluster they would
+    not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,12 +35,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Writes inside delete their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet in the shared folder; the table read again, and its path."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with shuffles_deleted(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
     return spark.read.schema(schema).parquet(path), path
 
@@ -40,8 +64,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)[0]
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a table that no plan will read again."""
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that no plan will read again."""
     jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until none of the columns has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
