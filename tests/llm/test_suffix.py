@@ -58,3 +58,26 @@ def test_matches_brute_force(spark, chunk, monkeypatch):
 
 def test_empty_table(spark):
     assert suffix.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ranks_tell_strings_apart():
+    import numpy as np
+
+    data = np.frombuffer("".join(random.Random(4).choice("ab") for _ in range(3000)).encode(), np.uint8)
+    for length in (1, 2, 3, 41, 64, 65, 200, 359):
+        k = 1 if length == 1 else suffix.power(length)
+        places = np.arange(len(data) - length + 1)
+        rank = suffix.at_length(suffix.doubled(data, k), k, length, (places,))
+        strings = [data[i : i + length].tobytes() for i in places]
+        assert len(set(strings)) == len(set(rank.tolist())) == len(set(zip(strings, rank.tolist())))
+
+
+def test_nulls_repeats_and_a_hot_passage(spark):
+    rnd = random.Random(6)
+    fresh = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    hot = fresh(500)
+    texts = [fresh(150) + hot + fresh(rnd.randint(0, 90)) for _ in range(1500)]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 1), (None, None, 1), (7, "", 1)]
+    got = sorted(suffix.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, rid int")).collect(), key=str)
+    want = brute([(t or "").encode() for _, t, _ in rows])
+    assert sorted((tuple(r) for r in got), key=str) == sorted(((d, *w) for (d, _, _), w in zip(rows, want)), key=str)
