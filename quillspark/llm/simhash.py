@@ -342,22 +342,50 @@ def _stars(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield _uv(u, v)
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """All pairs of each group that may be similar enough and have different roots. Sets of a and b
+def _close(i: int, others: np.ndarray | slice, n: np.ndarray, at: np.ndarray, root: np.ndarray, bits: np.ndarray, least: float) -> np.ndarray:
+    """Which of the others may be similar enough to member i, and have another root. Sets of a and b
     shingles that share least of all differ in no more than (a + b) * (1 - least) / (1 + least)."""
+    ok = _may_pair(n[i], at[i], n[others], at[others], least) & (root[others] != root[i])
+    if ok.any():
+        some = np.flatnonzero(ok)
+        apart = np.bitwise_count(bits[others][some] ^ bits[i]).sum(axis=1)
+        ok[some] = apart * (1 + least) <= (n[i] + n[others][some]) * (1 - least) + 1e-6
+    return ok
+
+
+#: Hubs of a group in one round, rounds at most before all that is left is compared, and members from
+#: which a group has hubs: of fewer, every two are compared at once.
+HUBS = 4
+ROUNDS = 6
+LARGE = 32
+
+
+def _hubs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Of each group, pairs of a member of each of its largest components and members of others."""
+    for batch in batches:
+        u, v = [], []
+        for node, n, at, root, bits in _members(batch):
+            roots, counts = np.unique(root, return_counts=True)
+            for r in roots[np.lexsort((roots, -counts))][:HUBS]:
+                own = np.flatnonzero(root == r)
+                i = int(own[len(own) // 2])
+                found = node[_close(i, slice(None), n, at, root, bits, least)]
+                v.append(found)
+                u.append(np.full(len(found), node[i]))
+        yield _uv(u, v)
+
+
+def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """All pairs of each group that may be similar enough and have different roots."""
     for batch in batches:
         u, v, held = [], [], 0
         for node, n, at, root, bits in _members(batch):
             for i, j in enumerate(np.searchsorted(n, n / least + 1e-6, "right").tolist()):
-                ok = _may_pair(n[i], at[i], n[i + 1 : j], at[i + 1 : j], least) & (root[i + 1 : j] != root[i])
-                if ok.any():
-                    some = np.flatnonzero(ok)
-                    apart = np.bitwise_count(bits[i + 1 : j][some] ^ bits[i]).sum(axis=1)
-                    ok[some] = apart * (1 + least) <= (n[i] + n[i + 1 : j][some]) * (1 - least) + 1e-6
-                if ok.any():
-                    v.append(node[i + 1 : j][ok])
-                    u.append(np.full(len(v[-1]), node[i]))
-                    held += len(v[-1])
+                found = node[i + 1 : j][_close(i, slice(i + 1, j), n, at, root, bits, least)]
+                if len(found):
+                    v.append(found)
+                    u.append(np.full(len(found), node[i]))
+                    held += len(found)
                 if held > GATHERED:
                     yield _uv(u, v)
                     u, v, held = [], [], 0
@@ -398,12 +426,13 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, least: float = SI
     sets of shingles of five words is ``least`` or more; every pair is checked exactly, by sketches
     of the ``sketch`` least hashes where these hold the whole sets, else by the texts.
 
-    Candidates come in two rounds. First, texts whose SimHash fingerprints differ in ``distance``
+    Candidates come in rounds. First, texts whose SimHash fingerprints differ in ``distance``
     bits or fewer, found at the anchors, and of the texts that share one of their first shingles
-    (``prefix``) a hub of about their size with each. Then every two texts that share such a
-    shingle, which any similar pair does, however the texts differ, that are not in one component by
-    the first round, and that their bitmaps don't rule out; those bound the difference from below,
-    so no similar pair is lost.
+    (``prefix``) a hub of about their size with each. Then members of the largest components among
+    those that share a shingle with all that aren't in theirs yet, again as long as that finds links;
+    at last every two that share one, are in different components still, and that their bitmaps
+    don't rule out. Any similar pair shares such a shingle, however the texts differ, and bitmaps
+    bound the difference from below, so no link between different components is lost.
 
     Texts with equal sets of shingles are one group, so are all texts without a word (null among
     them). A null doc_id is the greatest. All columns are kept. Empty table: no rows. Runs actions.
@@ -416,17 +445,13 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, least: float = SI
     common = common_shingles(slim, shingle)
     described = slim.mapInArrow(lambda it: _described(it, shingle, least, sketch, common), f"rid long, doc_id {kind}, t1 long, t2 long, n long, prefix binary, sketch binary, bits binary, fp long")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid"))
-    described, described_at = written(described, "described")
     nodes = described.groupBy("t1", "t2").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("n", "prefix", "sketch", "bits", "fp")))
     nodes, nodes_at = written(nodes.withColumn("node", F.col("best.rid")), "nodes")
-    dropped(spark, described_at)
-    member_of = "node long, n long"
-    keys = nodes.select("node", "n", "prefix").mapInArrow(_keys, f"key long, {member_of}, at long")
-    groups, groups_at = written(keys.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("members")).where(F.size("members") > 1).select("members"), "groups")
-    stars = groups.mapInArrow(lambda it: _stars(it, least), "u long, v long")
+    keys = nodes.select("node", "n", "prefix").mapInArrow(_keys, "key long, node long, n long, at long")
+    groups, groups_at = written(keys.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at")).alias("members")).where(F.size("members") > 1), "groups")
+    stars = groups.select("members").mapInArrow(lambda it: _stars(it, least), "u long, v long")
     texts = slim.select(F.col("rid").alias("node"), F.col("text").alias("x"))
     stars, stars_at = written(stars.unionByName(_fingerprint_pairs(nodes.select("node", "fp"), distance)).distinct(), "pairs")
-    dropped(spark, groups_at)
 
     def with_both(pairs: DataFrame, of: DataFrame) -> DataFrame:
         """Pairs with what ``of`` (node, x) has of either side; of it, only what they name is dealt out."""
@@ -441,16 +466,36 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, least: float = SI
         exact = with_both(unsure, texts).mapInArrow(lambda it: _exact(it, shingle, least), "u long, v long")
         return cut(sketched.where("whole").select("u", "v").unionByName(exact), "links")
 
-    linked = verified(stars)
-    tree = cut(components(linked), "trees")
-    rooted = nodes.join(tree, "node", "left").select("node", "n", "prefix", "bits", F.coalesce("root", "node").alias("root"))
-    member = rooted.mapInArrow(_keys, f"key long, {member_of}, bits binary, root long, at long")
-    mixed = member.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "root", "bits")).alias("members"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed")
-    rest = mixed.select("members").mapInArrow(lambda it: _across(it, least), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
-    tree = components(linked.unionByName(verified(cut(rest, "pairs"))))
+    def dealt(of: DataFrame) -> tuple[DataFrame, str]:
+        """What later rounds need, joined to texts before it is dealt out to the keys they share."""
+        return written(of.select("key", F.inline("members")).groupBy("node").agg(F.collect_list(F.struct("key", "at")).alias("keys")).join(nodes.select("node", "n", "bits"), "node"), "shared")
+
+    def mixed(shared: DataFrame, tree: DataFrame) -> DataFrame:
+        """The groups whose members aren't all in one component."""
+        rooted = shared.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        member = rooted.select("node", "n", "root", "bits", F.inline("keys"))
+        found = member.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "root", "bits")).alias("members"), (F.min("root") < F.max("root")).alias("mixed"))
+        return found.where("mixed").select("members")
+
+    def pairs_of(tree: DataFrame) -> DataFrame:
+        return tree.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+    compared = stars
+    tree = cut(components(verified(stars)), "trees")
+    large, large_at = dealt(groups.where(F.size("members") >= LARGE))
+    for _ in range(0 if large.isEmpty() else ROUNDS):
+        more = cut(mixed(large, tree).mapInArrow(lambda it: _hubs(it, least), "u long, v long").distinct().join(compared, ["u", "v"], "left_anti"), "pairs")
+        found = verified(more)
+        if found.isEmpty():
+            break
+        compared = compared.unionByName(more)
+        tree = cut(components(pairs_of(tree).unionByName(found)), "trees")
+    shared, shared_at = dealt(groups)
+    rest = cut(mixed(shared, tree).mapInArrow(lambda it: _across(it, least), "u long, v long").distinct().join(compared, ["u", "v"], "left_anti"), "pairs")
+    tree = components(pairs_of(tree).unionByName(verified(rest)))
     grouped = nodes.join(tree, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     kept = cut(grouped.select(F.col("best.rid").alias(rid)), "kept")
-    dropped(spark, nodes_at, stars_at)
+    dropped(spark, nodes_at, groups_at, large_at, shared_at, stars_at)
     return rows.join(kept, rid, "left_semi").drop(rid)
 
 

@@ -153,3 +153,19 @@ def test_copies_among_texts_of_the_same_words(spark):
     got = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_kept(rows)
     assert {r.doc_id for r in got} == want and len(rows) > len(want) > 50
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text with edits of their own: many are similar to each other, few to all; and a
+    column named like one that the operator makes stays."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for j in rnd.sample(range(len(w)), rnd.choice([1, 2, 3, 4])):
+            w[j] = word()
+        rows.append((i, " ".join(w), i))
+    got = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, _rid int"))
+    assert got.columns == ["doc_id", "text", "_rid"] and {r.doc_id for r in got.collect()} == brute_kept(rows)
