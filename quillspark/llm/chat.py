@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 CONTEXT_ROLES = ("system",)
 CHUNK = 256
+#: What begins a mark of the format, and what it is written as where a turn or a name has it.
+MARK, ESCAPED = "<|", "< |"
 
 
 def rotate_perspectives(turns: DataFrame, context_roles: Sequence[str] = CONTEXT_ROLES, chunk: int = CHUNK) -> DataFrame:
@@ -27,10 +29,11 @@ def rotate_perspectives(turns: DataFrame, context_roles: Sequence[str] = CONTEXT
     ``turns`` has conv_id, turn, role and text. Participants are a dialogue's distinct roles but
     for null and ``context_roles``; turns with those roles are shown to every perspective as
     ``system``. A dialogue without participants has no rows. Rows without conv_id are left out.
-    A null text is shown as empty and trained on as such. Turns go in order of turn (null last),
+    A null text is shown as empty and trained on as such. Marks of the format in a text or a name are
+    broken by a space, line ends in a name are spaces, so no turn forges another. Turns go in order of turn (null last),
     then role, then text; equal rows are each kept. Further columns are ignored.
     """
-    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).where(F.col("conv_id").isNotNull())
+    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("raw"), F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(ESCAPED)).alias("text")).where(F.col("conv_id").isNotNull())
     who = t.where(F.col("role").isNotNull() & ~F.col("role").isin(*context_roles)).select("conv_id", F.col("role").alias("perspective")).distinct()
     context = F.col("role").isNull() | F.col("role").isin(*context_roles)
     own = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
@@ -38,13 +41,13 @@ def rotate_perspectives(turns: DataFrame, context_roles: Sequence[str] = CONTEXT
         t.join(who, "conv_id")
         .withColumn("role_as", F.when(context, "system").when(own, "assistant").otherwise("user"))
         .withColumn("name", F.when(F.col("role_as") == "user", F.col("role")))
-        .withColumn("header", F.concat(F.lit("<|im_start|>"), F.col("role_as"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n")))
+        .withColumn("header", F.concat(F.lit("<|im_start|>"), F.col("role_as"), F.coalesce(F.concat(F.lit(" name="), F.replace(F.replace("name", F.lit(MARK), F.lit(ESCAPED)), F.lit("\n"), F.lit(" "))), F.lit("")), F.lit("\n")))
         .withColumn("segment", F.concat("header", "text", F.lit("<|im_end|>\n")))
         .withColumn("trained", F.col("role_as") == "assistant")
         .withColumn("part", F.coalesce(F.floor(F.col("turn") / F.lit(chunk)), F.lit(2**62)).cast("long"))
         .withColumn("len", F.length("segment").cast("long"))
     )
-    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text")]
+    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("raw").asc_nulls_first()]
     within = Window.partitionBy("conv_id", "perspective", "part").orderBy(*order)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

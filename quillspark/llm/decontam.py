@@ -2,13 +2,14 @@
 
 Size-partitioned MinHash containment search. A document is a set of shingles of five words, and
 documents are partitioned by the size of that set, to powers of two. A partition whose largest
-set has u shingles uses a one-permutation MinHash signature of 8 u bins: a bin holds the smallest
-hash that falls into it. So the signature's length follows the partition's size, as the Jaccard
-similarity that a given containment leaves falls with it. An item is hashed into the bins of each
-partition; it is a candidate of a document if they agree in a bin. A shingle that both have is
-the document's smallest in its bin but with probability 1/16 or less, so an item of 8 shingles or
-more that is contained to 0.8 is missed with probability 1/16**7 or less; items of fewer shingles
-are looked up by every shingle. Candidates are verified exactly, on the words themselves.
+set has u shingles uses a one-permutation MinHash signature of u bins: a bin holds the smallest
+hash that falls into it, so a signature has 63 to 79 % as many hashes as the set. Its length follows
+the partition's size, as the Jaccard similarity that a given containment leaves falls with it. An
+item is hashed into the bins of each partition; it is a candidate of a document if they agree in a
+bin. A shingle that both have is the document's smallest in its bin with probability 0.63 or more,
+so an item of 16 shingles or more that is contained to 0.8 is missed with probability 0.37**13 (three
+in a million) or less; items of fewer shingles are looked up by every shingle. Candidates are
+verified exactly, on the words themselves.
 
 Items are sent to the executors in blocks of a bounded number of words.
 """
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path, written
+from .store import dropped, new_path, written
 
 WORDS = 5
 CONTAINMENT = 0.8
-FEW = 8
-BINS = 8
+FEW = 16
+BINS = 1
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -191,11 +192,12 @@ def _clean(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Ite
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
     """The items in lists of about ``block_words`` words; one list, maybe empty, at least."""
+    # a repeated item may fill a block; rows of one item are dealt by number
     items = benchmark.where(F.col("text") != "").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 4
     blocks = max(1, math.ceil(total / block_words))
     if blocks > 1:
-        items, _ = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+        items, _ = written(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(blocks))), "items")
     for b in range(blocks):
         rows = items.where(F.col("block") == b) if blocks > 1 else items
         yield [(r["item_id"], r["text"]) for r in rows.collect()]
@@ -233,9 +235,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, leas
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: float = CONTAINMENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, whole, that contain no item by ``least`` or more; edge cases are as in
-    :func:`contaminated`. Nothing is shuffled."""
-    schema = docs.schema
-    for rows in _blocks(benchmark, block_words):
+    :func:`contaminated`. Nothing is shuffled. Of several blocks each is searched, and what is clean
+    written, before the next one is read."""
+    schema, path = docs.schema, None
+    blocks = _blocks(benchmark, block_words)
+    rows = next(blocks)
+    while rows is not None:
         block = Items(rows, words)
-        docs = docs.mapInArrow(lambda it, block=block: _clean(it, block, least), schema)
+        rows = next(blocks, None)
+        clean = docs.mapInArrow(lambda it, block=block: _clean(it, block, least), schema)
+        if rows is None:
+            return clean
+        before = path
+        docs, path = written(clean, "clean")
+        if before:
+            dropped(docs.sparkSession, before)
     return docs

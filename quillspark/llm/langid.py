@@ -3,8 +3,10 @@
 Two GRU layers, one reading forwards and one backwards, give every byte a state of both sides; a
 softmax over the states labels each position, and a document's probabilities are the mean of its
 positions'. The network is trained here, in numpy, by backpropagation through time with Adam, on
-a bounded sample of labelled rows. Texts are lower-cased and read in segments of ``SEGMENT``
-bytes, all of them; a segment starts from a zero state on either side.
+a bounded sample of labelled rows; its minibatches are stretches drawn from anywhere in their texts.
+Texts are lower-cased and read whole. To read many positions at once they are cut into segments of
+``SEGMENT`` bytes; a segment's state on either side is carried over from the ``WARM`` bytes before or
+after it, which the network reads for the state alone. Only a text's ends start from a zero state.
 
 Arrays have one column a segment, so a step of all segments is a few matrix operations.
 """
@@ -19,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import unused
+
 HIDDEN = 8
-SEGMENT = 128
-COLUMNS = 2048
-#: Bounds of the training sample: documents in all, characters of each, languages.
+SEGMENT = 256
+WARM = 32
+COLUMNS = 1024
+#: Bound of the training sample: documents in all, and so languages, too.
 SAMPLE_DOCS = 1600
-SAMPLE_CHARS = 1536
-LANGUAGES = 200
 TRAIN_LENGTH = 48
 TRAIN_BATCH = 256
 TRAIN_STEPS = 220
@@ -168,28 +171,32 @@ class Reader:
             state += cand
             yield t, state
 
-    def pooled(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Sums of the positions' probabilities (classes x segments); ids is length x segments,
-        filled up beyond ``lengths``."""
-        steps, n = ids.shape
-        forward = np.empty((steps, self.hidden, n), np.float32)
-        for t, state in self._steps("f", ids, range(steps)):
-            forward[t] = state
+    def pooled(self, ids: np.ndarray, led: np.ndarray, core: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums of the probabilities of positions WARM to ``core`` (classes x segments). ids is length
+        x segments, filled up beyond ``ends``; before WARM it counts only where ``led`` says so."""
+        first, last = 0 if led.any() else WARM, int(core.max())
+        forward = np.empty((last - WARM, self.hidden, ids.shape[1]), np.float32)
+        for t, state in self._steps("f", ids, range(first, last)):
+            if t >= WARM:
+                forward[t - WARM] = state
+            elif t == WARM - 1 and not led.all():
+                state *= led
         Vf, Vb = self.parts["f"][3], self.parts["b"][3]
-        total = np.zeros((self.classes, n), np.float32)
-        short = int(lengths.min())
-        for t, state in self._steps("b", ids, range(steps - 1, -1, -1)):
+        total = np.zeros((self.classes, ids.shape[1]), np.float32)
+        short, least = int(ends.min()), int(core.min())
+        for t, state in self._steps("b", ids, range(len(ids) - 1, WARM - 1, -1)):
             if t >= short:
-                inside = (lengths > t).astype(np.float32)
-                state *= inside
-            p = Vf @ forward[t]
+                state *= (ends > t).astype(np.float32)
+            if t >= last:
+                continue
+            p = Vf @ forward[t - WARM]
             p += Vb @ state
             p += self.b
             np.minimum(p, 60, out=p)
             np.exp(p, out=p)
             p /= p.sum(axis=0)
-            if t >= short:
-                p *= inside
+            if t >= least:
+                p *= core > t
             total += p
         return total
 
@@ -197,34 +204,35 @@ class Reader:
         """Documents x classes: mean probability over all positions of each text; zeros where it
         is empty."""
         out = np.zeros((len(texts), self.classes))
-        rows: list[tuple[int, bytes]] = []
+        rows: list[tuple[int, bool, int, bytes]] = []
         S = self.segment
 
         def flush() -> None:
             # shorter segments together, so that few steps have columns that have ended
-            rows.sort(key=lambda r: -len(r[1]))
+            rows.sort(key=lambda r: (-len(r[3]), r[1]))
             for at in range(0, len(rows), self.columns):
                 part = rows[at : at + self.columns]
-                lengths = np.array([len(t) for _, t in part])
-                width = int(lengths.max())
-                ids = np.frombuffer(b"".join(t.ljust(width, b"\0") for _, t in part), np.uint8).reshape(len(part), width)
-                total = self.pooled(np.ascontiguousarray(ids.T).astype(np.intp), lengths)
-                np.add.at(out, [i for i, _ in part], total.T)
+                led, core, ends = (np.array(x) for x in ([r[1] for r in part], [WARM + r[2] for r in part], [(0 if r[1] else WARM) + len(r[3]) for r in part]))
+                width = int(ends.max())
+                ids = np.frombuffer(b"".join((t if lead else b"\0" * WARM + t).ljust(width, b"\0") for _, lead, _, t in part), np.uint8).reshape(len(part), width)
+                total = self.pooled(np.ascontiguousarray(ids.T).astype(np.intp), led, core, ends)
+                np.add.at(out, [r[0] for r in part], total.T)
             rows.clear()
 
         for i, text in enumerate(texts):
             for at in range(0, len(text), S):
-                rows.append((i, text[at : at + S]))
-                if len(rows) == 2 * self.columns:
+                rows.append((i, at > 0, min(S, len(text) - at), text[max(0, at - WARM) : at + S + WARM]))
+                if len(rows) == 4 * self.columns:
                     flush()
         flush()
         return out / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are the text and whether it has a letter; the others are kept."""
     reader = Reader(w) if names else None
     for batch in batches:
-        letters = batch.column("_letters").to_pylist()
+        letters = batch.column(batch.num_columns - 1).to_pylist()
         langs, scores = [], []
         held: list[bytes] = []
 
@@ -237,45 +245,46 @@ def _predict(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray], names:
             held.clear()
 
         size = 0
-        for x, ok in zip(batch.column("_text"), letters):
+        for x, ok in zip(batch.column(batch.num_columns - 2), letters):
             held.append(x.as_py().lower().encode() if ok else b"")
             size += len(held[-1])
             if size > 1 << 20:
                 flush()
                 size = 0
         flush()
-        columns = [batch.column(c) for c in batch.schema.names if c not in ("_text", "_letters")]
-        kept = [c for c in batch.schema.names if c not in ("_text", "_letters")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+        kept = batch.schema.names[:-2]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
 
 def fitted(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS, steps: int = TRAIN_STEPS) -> tuple[dict[str, np.ndarray], list[str]]:
     """Weights and language names learned from the text and lang of the rows ``usable`` holds for.
 
-    The sample is bounded: ``sample_docs`` documents in all, spread evenly over the languages (the
-    LANGUAGES most frequent ones) by a hash of the text, a stretch of SAMPLE_CHARS of each from a
-    place that the hash tells.
+    The sample is bounded: ``sample_docs`` documents at most, spread evenly over the languages by a
+    hash of the text. So it can't hold more languages than documents; the most frequent ones come
+    first. Of each document as many stretches are drawn as training reads, from anywhere in it.
     """
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.where(usable & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample_docs).collect()
     if not counts:
         return {}, []
     each = max(1, sample_docs // len(counts))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(share)
-    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    start = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)).cast("long")) + 1
-    found = rows.where(has_letter & (order < share * (1 << 30))).select("lang", order.alias("order"), F.substr("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    shares = F.map_from_entries(F.array(*[F.struct(F.lit(r["lang"]), F.lit(min(1.0, each / r["count"]))) for r in counts]))
+    share = F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0))
+    hashed = F.xxhash64("text")
+    order = F.pmod(hashed, F.lit(1 << 30))
+    chosen = rows.where(has_letter & (order < share * (1 << 30))).select("lang", "text", hashed.alias("hashed"), order.alias("order"))
     # a hash that many copies share may take in more than its share, so the bound is set again
-    found = found.dropDuplicates(["lang", "text"]).orderBy("order", "lang").limit(2 * sample_docs).collect()
+    draws = F.sequence(F.lit(0), F.lit(max(1, math.ceil(steps * TRAIN_BATCH / sample_docs)) - 1))
+    room = F.greatest(F.length("text") - TRAIN_LENGTH + 1, F.lit(1)).cast("long")
+    stretches = F.array_distinct(F.transform(draws, lambda j: F.substr("text", (F.pmod(F.xxhash64("hashed", j), room) + 1).cast("int"), F.lit(TRAIN_LENGTH))))
+    found = chosen.select("order", "lang", stretches.alias("stretches")).dropDuplicates(["lang", "stretches"]).orderBy("order", "lang").limit(sample_docs).collect()
     names = sorted({r["lang"] for r in found})
     if not names:
         return {}, []
     index = {n: i for i, n in enumerate(names)}
-    texts = [r["text"].lower().encode() for r in found]
-    return train(texts, [index[r["lang"]] for r in found], len(names), steps=steps), names
+    texts = [(s.lower().encode(), index[r["lang"]]) for r in found for s in r["stretches"]]
+    return train([t for t, _ in texts], [k for _, k in texts], len(names), steps=steps), names
 
 
 def predicted(docs: DataFrame, w: dict[str, np.ndarray], names: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -286,7 +295,8 @@ def predicted(docs: DataFrame, w: dict[str, np.ndarray], names: list[str], keep:
     """
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text"), letters.alias("_letters")).mapInArrow(lambda it: _predict(it, w, names), f"{schema}, lang_pred string, score double")
+    text, has = unused("_text", list(keep)), unused("_letters", list(keep))
+    return docs.select(*keep, F.col("text").alias(text), letters.alias(has)).mapInArrow(lambda it: _predict(it, w, names), f"{schema}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: int = TRAIN_STEPS) -> DataFrame:

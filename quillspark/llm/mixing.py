@@ -6,7 +6,8 @@ when. The schedule's integral is the source's cumulative demand; a document copy
 after ``c`` words of its source's supply is due when demand reaches ``c``, so its position is
 the inverse of the integral at ``c / target``. Documents are range-sorted by position.
 
-Supply order within a source is the order of ``md5(doc_id)``. The running sum is taken in two
+Supply order within a source is the order of the md5 of doc_id and text, so rows that repeat a doc_id
+or have none are spread like others; rows equal in both may change places with no effect. The running sum is taken in two
 levels, buckets of the digest and documents of a bucket, so that a source holding most of the
 rows is spread over as many tasks as it has buckets.
 """
@@ -96,7 +97,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP,
     Columns in ``keep`` are carried along; further ones are ignored. Empty table: no rows. Runs
     actions: it writes the (doc_id, source, size) table to the shared folder.
     """
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"), *keep)
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))).alias("order_key"), *keep)
     whole, slim = slim, cut(slim.drop(*keep), "mix-sizes")
     buckets = max(1, math.ceil(slim.count() / bucket_rows))
     bucket = F.floor(F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") * buckets / 2**32).cast("long")

@@ -4,12 +4,13 @@ A value is found by its form, validated (check digits, number ranges, the calend
 within its format: the result has the same form and is valid again. The permutation depends on the
 key and the kind of value only, so equal values get equal pseudonyms in all documents, and
 different values different ones. A value is permuted by what it says, not by how it is written: a
-card number with and without spaces stays the same number.
+card number with and without spaces stays the same number, so does +1 415 555 2671 as +14155552671,
+and an address in capitals is the same address; the pseudonym is written like the value.
 
 Two Feistel networks do it, eight rounds each with SHA-256 as round function. One works on a pair
 of numbers below two moduli, by addition, so a domain that is the product of two numbers needs no
-cycle walking: IPv4 addresses 2**16 * 2**16, telephone numbers 64000 * 10**5, social security
-numbers (898 * 99) * 9999, and dates 189 * 773, the days of the 400 years of the Gregorian cycle.
+cycle walking: IPv4 addresses 2**16 * 2**16, telephone numbers 64000 * 10**5 (and two smaller domains
+for area codes or exchanges that begin with 0 or 1), social security numbers (898 * 99) * 9999, and dates 189 * 773, the days of the 400 years of the Gregorian cycle.
 The other works on the letters and digits of a string, each of which stays within its class.
 
 All of it is DataFrame expressions in one pass over the text; there is no shuffle.
@@ -17,11 +18,15 @@ All of it is DataFrame expressions in one pass over the text; there is no shuffl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import unused
+
 ROUNDS = 8
-KEY = "quillspark-pseudonyms-v1"
+#: Where the key is set, and one for the sample tables, which holds no secret.
+KEY_SETTING = "spark.quillspark.pseudonymKey"
+SAMPLE_KEY = "key of the sample tables"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|\b(?i:password|passwd|pwd|token|secret|api_?key) ?[=:] ?[\"']?[A-Za-z0-9_+/-]{8,}(?![A-Za-z0-9_+/-])"
@@ -51,7 +56,12 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def permuted_pair(left: Column, right: Column, a: int, b: int, key: str, kind: str) -> Column:
+def key_of(spark: SparkSession) -> str:
+    """The session's key, or that of the sample tables where none is set."""
+    return spark.conf.get(KEY_SETTING, None) or SAMPLE_KEY
+
+
+def permuted_pair(left: Column, right: Column, a: int | Column, b: int, key: str, kind: str | Column) -> Column:
     """Struct (l, r) of a permutation of the pairs with 0 <= left < a, 0 <= right < b."""
 
     def step(acc: Column, i: Column) -> Column:
@@ -119,11 +129,13 @@ def _padded(n: Column, width: int) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     """The local part and the domain but for its last label, each on its own: addresses of one
-    host stay addresses of one host."""
-    local, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    host stay addresses of one host. Small letters are permuted; capitals stay capitals."""
+    low = F.lower(m)
+    local, host = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
     last = F.substring_index(host, ".", -1)
     name = F.substr(host, F.lit(1), F.length(host) - F.length(last) - 1)
-    return F.concat(permuted_text(local, key, "local"), F.lit("@"), permuted_text(name, key, "host"), F.lit("."), last)
+    out = F.concat(permuted_text(local, key, "local"), F.lit("@"), permuted_text(name, key, "host"), F.lit("."), last)
+    return _let(out, lambda o: F.when(m == low, o).otherwise(F.array_join(F.transform(F.split(o, ""), lambda c, j: F.when(F.substr(m, j + 1, F.lit(1)).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -165,20 +177,21 @@ EPOCH = "1800-01-01"
 
 def _date(m: Column, key: str) -> Column:
     """Year-month-day, day.month.year and month/day/year (or day/month/year, where only that is a
-    date) between 1800 and 2199."""
+    date) between 1800 and 2199. A result with slashes is read by the same rule, so the day comes
+    first only where it did and is above 12."""
 
     def as_date(form: str) -> Column:
         return F.to_date(F.try_to_timestamp(m, F.lit(form)))
 
     iso, dotted = m.rlike("^[0-9]{4}-"), F.substring(m, 3, 1) == "."
     month_first = as_date("MM/dd/yyyy")
-    form = F.when(iso, "yyyy-MM-dd").when(dotted, "dd.MM.yyyy").when(month_first.isNotNull(), "MM/dd/yyyy").otherwise("dd/MM/yyyy")
     day = F.when(iso, as_date("yyyy-MM-dd")).when(dotted, as_date("dd.MM.yyyy")).otherwise(F.coalesce(month_first, as_date("dd/MM/yyyy")))
     n = F.datediff(day, F.lit(EPOCH).cast("date"))
 
     def moved(p: Column) -> Column:
         to = F.date_add(F.lit(EPOCH).cast("date"), (p["l"] * 773 + p["r"]).cast("int"))
-        return F.when(iso, F.date_format(to, "yyyy-MM-dd")).when(dotted, F.date_format(to, "dd.MM.yyyy")).when(form == "MM/dd/yyyy", F.date_format(to, "MM/dd/yyyy")).otherwise(F.date_format(to, "dd/MM/yyyy"))
+        day_first = month_first.isNull() & (F.dayofmonth(to) > 12)
+        return F.when(iso, F.date_format(to, "yyyy-MM-dd")).when(dotted, F.date_format(to, "dd.MM.yyyy")).when(day_first, F.date_format(to, "dd/MM/yyyy")).otherwise(F.date_format(to, "MM/dd/yyyy"))
 
     return F.when(n.between(0, 146096), _let(permuted_pair(F.floor(n / 773), n % 773, 189, 773, key, "date"), moved)).otherwise(m)
 
@@ -196,28 +209,35 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Ten digits, the country code kept; area and exchange that begin with 2 to 9 still do."""
+    """Ten digits, the country code kept. Area and exchange that begin with 2 to 9, as valid ones do,
+    still do; the others are permuted among those whose area, or else exchange, begins with 0 or 1,
+    so no result is that of a valid number, too."""
     digits = F.substring(_digits(m), -10, 10)
     at = lambda d, i, n=1: F.substring(d, i, n).cast("long")
-    valid = digits.rlike("^[2-9]..[2-9]")
     skip = F.length(_digits(m)) - 10
 
     def moved(d: Column) -> Column:
-        left = ((at(d, 1) - 2) * 8 + at(d, 4) - 2) * 1000 + at(d, 2, 2) * 10 + at(d, 5)
-        return _let(permuted_pair(left, at(d, 6, 5), 64000, 100000, key, "phone"), lambda p: _laid_out(m, rebuilt(p), skip))
+        area, exchange = at(d, 1), at(d, 4)
+        rest = at(d, 2, 2) * 10 + at(d, 5)
+        left = F.when(area < 2, area * 10000 + at(d, 2, 4)).when(exchange < 2, ((area - 2) * 2 + exchange) * 1000 + rest).otherwise(((area - 2) * 8 + exchange - 2) * 1000 + rest)
+        size = F.when(area < 2, 20000).when(exchange < 2, 16000).otherwise(64000)
+        return _let(permuted_pair(left, at(d, 6, 5), size, 100000, key, F.concat(F.lit("phone"), size.cast("string"))), lambda p: _laid_out(m, rebuilt(p, area, exchange), skip))
 
-    def rebuilt(p: Column) -> Column:
+    def rebuilt(p: Column, area: Column, exchange: Column) -> Column:
         first, rest = F.floor(p["l"] / 1000), p["l"] % 1000
-        return F.concat((F.floor(first / 8) + 2).cast("string"), _padded(F.floor(rest / 10), 2), (first % 8 + 2).cast("string"), (rest % 10).cast("string"), _padded(p["r"], 5))
+        text = lambda a, e: F.concat(a.cast("string"), _padded(F.floor(rest / 10), 2), e.cast("string"), (rest % 10).cast("string"))
+        head = F.when(area < 2, _padded(p["l"], 5)).when(exchange < 2, text(F.floor(first / 2) + 2, first % 2)).otherwise(text(F.floor(first / 8) + 2, first % 8 + 2))
+        return F.concat(head, _padded(p["r"], 5))
 
-    return F.when(valid, _let(digits, moved)).otherwise(_let(permuted_text(digits, key, "phone10"), lambda d: _laid_out(m, d, skip)))
+    return _let(digits, moved)
 
 
 def _abroad(m: Column, key: str) -> Column:
-    """8 to 15 digits after a plus sign; the first two, of the country code, are kept."""
+    """8 to 15 digits after a plus sign; the first two, of the country code, are kept. Eleven digits
+    from 1 on are a telephone number of the other form, differently written."""
     digits = _digits(m)
     rest = permuted_text(F.substr(digits, F.lit(3), F.length(digits)), key, "abroad")
-    return F.when(F.length(digits).between(8, 15), _let(rest, lambda d: _laid_out(m, d, F.lit(2)))).otherwise(m)
+    return F.when(digits.rlike("^1[0-9]{10}$"), _phone(m, key)).when(F.length(digits).between(8, 15), _let(rest, lambda d: _laid_out(m, d, F.lit(2)))).otherwise(m)
 
 
 def _card(m: Column, key: str) -> Column:
@@ -241,34 +261,37 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, kind: Column, key: str) -> Column:
     out = None
     for name, handler in HANDLERS.items():
         out = F.when(kind == name, handler(m, key)) if out is None else out.when(kind == name, handler(m, key))
     return out.otherwise(m)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with the values in ``column`` replaced, and n_found (strings of one of the forms)
     and n_replaced (those that are valid, and so were permuted).
 
     A null text stays null with counts 0; empty texts and texts without such values are unchanged.
-    What has a form but isn't valid (a card number with a wrong check digit, 31.02.2020) stays.
+    What has a form but isn't valid (a card number with a wrong check digit, 31.02.2020) stays. Ten
+    digits without any mark of a telephone number aren't one of the forms. Whoever has the ``key`` can
+    take the pseudonyms back.
     Rows keep their number and order, and all other columns; columns named n_found or n_replaced
     are replaced. A permutation may map a value to itself, with probability 1 / size of its format.
     """
     text = F.col(column)
     hinted = text.rlike(HINT)
+    held, new_column = unused("_found", docs.columns), unused("_new", docs.columns)
     found = F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     pieces = F.split(text, ANY, -1)
-    new = F.transform(F.col("_found"), lambda m: _let(kind_of(m), lambda k: pseudonym(m, k, key)))
-    joined = F.array_join(F.zip_with(pieces, F.col("_new"), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    new = F.transform(F.col(held), lambda m: _let(kind_of(m), lambda k: pseudonym(m, k, key)))
+    joined = F.array_join(F.zip_with(pieces, F.col(new_column), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     names = [c for c in docs.columns if c not in ("n_found", "n_replaced")]
     return (
-        docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
-        .withColumn("_new", F.when(F.size("_found") > 0, new))
-        .withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(text))
-        .withColumn("n_found", F.size("_found"))
-        .withColumn("n_replaced", F.when(F.size("_found") > 0, F.size(F.filter(F.arrays_zip("_found", "_new"), lambda z: z["_found"] != z["_new"]))).otherwise(F.lit(0)))
-        .drop("_found", "_new")
+        docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(found, F.array().cast("array<string>")).alias(held))
+        .withColumn(new_column, F.when(F.size(held) > 0, new))
+        .withColumn(column, F.when(F.size(held) > 0, joined).otherwise(text))
+        .withColumn("n_found", F.size(held))
+        .withColumn("n_replaced", F.when(F.size(held) > 0, F.size(F.filter(F.zip_with(held, new_column, lambda a, b: a != b), lambda z: z))).otherwise(F.lit(0)))
+        .drop(held, new_column)
     )

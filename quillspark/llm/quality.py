@@ -8,7 +8,8 @@ minimising the non-negative unbiased risk
 (Kiryo et al., 2017), with the logistic loss. Negative labels are never looked at. The class prior
 is estimated first: a classifier of positives against unlabelled orders the texts, and the prior
 is the least ratio of unlabelled to positive texts above a threshold (Garg et al., 2021), as above
-a good threshold there are positives only. The network reads statistics of the whole text.
+a good threshold there are positives only. The network reads the whole text as hashed frequencies of
+its pairs of bytes and of its words, of which training learns what counts, and some statistics.
 """
 
 from __future__ import annotations
@@ -21,15 +22,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .decontam import word_hashes
 from .langid import fold
 
-#: Bound of the training sample: so many positives and so many unlabelled texts at most, nearly.
+#: Bound of the training sample: so many positives and so many unlabelled texts, 2 * SAMPLE in all.
 SAMPLE = 8000
+#: Places that pairs of bytes, and words, are hashed to.
+HASHED = 128
 HIDDEN = 12
 STEPS = 1500
+#: Weight decay, and what hashed features are multiplied by so that the statistics count at first.
+DECAY = 0.01
+DAMPED = 0.1
 BATCH = 512
 NAMES = ("bytes", "words", "word_bytes", "upper", "lower", "digit", "mark", "other", "line", "pipe", "exclaim", "odd_mark", "distinct", "again", "line_distinct", "capital_words", "word_spread")
 
+WIDTH = len(NAMES) + 2 * HASHED
+
 _CLASS = np.zeros(256, np.int64)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
 for _c in (32, *range(9, 14)):
@@ -37,9 +46,20 @@ for _c in (32, *range(9, 14)):
 _ODD = [ord(c) for c in "#$%&*+<=>@\\^_`{|}~"]
 
 
-def features(text: str | None) -> list[float]:
-    """Statistics of the whole text; a null text is empty, and all its statistics are 0 but for
-    the ratios of distinct words and lines, which are 1."""
+def hashed(values: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of the values that fall to each of HASHED places."""
+    at = (values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(57)).astype(np.int64)
+    return np.sqrt(np.bincount(at, minlength=HASHED) / max(1, len(values)))
+
+
+def features(text: str | None) -> np.ndarray:
+    """Statistics of the whole text and hashed frequencies; a null text is empty, and all its
+    features are 0 but for the ratios of distinct words and lines, which are 1."""
+    data, w = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint64), (text or "").split()
+    return np.concatenate([statistics(text), hashed(data[:-1] << np.uint64(8) | data[1:]), hashed(word_hashes(w) if w else data[:0])])
+
+
+def statistics(text: str | None) -> list[float]:
     data = (text or "").encode()
     n = max(1, len(data))
     hist = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
@@ -92,7 +112,7 @@ def _minimised(xp: np.ndarray, xu: np.ndarray, risk, steps: int, seed: int) -> d
         grad["A"], grad["a"] = p.T @ dp + u.T @ du, dp.sum(axis=0) + du.sum(axis=0)
         rate = 0.01 * (1 - 0.95 * step / steps)
         for k, g in grad.items():
-            g = g + 1e-4 * w[k] * (k != "b")
+            g = g + DECAY * w[k] * (k != "b")
             mean[k] += 0.1 * (g - mean[k])
             square[k] += 0.001 * (g * g - square[k])
             w[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
@@ -106,37 +126,42 @@ def estimated_prior(fp: np.ndarray, fu: np.ndarray) -> float:
     above_p, above_u = (np.array([(f >= x).mean() for x in t]) for f in (fp, fu))
     slack = np.sqrt(1 / len(fp)) + np.sqrt(1 / len(fu))
     at = ((above_u + slack) / above_p).argmin()
-    return float(np.clip(above_u[at] / above_p[at], 0.05, 0.95))
+    # neither all nor none of the unlabelled, to what so many of them can tell
+    return float(np.clip(above_u[at] / above_p[at], 1 / (len(fu) + 1), 1 - 1 / (len(fu) + 1)))
 
 
 def train(xp: np.ndarray, xu: np.ndarray, steps: int = STEPS, seed: int = 0) -> dict[str, np.ndarray]:
     """Weights, with the scaling of the statistics and the estimated prior."""
     both = np.concatenate([xp, xu])
     shift, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    xp, xu = (np.clip((x - shift) / scale, -6, 6) for x in (xp, xu))
-    halves = np.arange(len(xp)) % 2, np.arange(len(xu)) % 2
+    xp, xu = (scaled(x, shift, scale) for x in (xp, xu))
 
     def against(fp: np.ndarray, fu: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         return 0.0, -_sigmoid(-fp) / len(fp), _sigmoid(fu) / len(fu)
 
-    # the prior is estimated on the half that the ordering classifier has not seen
-    if min(len(xp), len(xu)) >= 20:
-        w = _minimised(xp[halves[0] == 0], xu[halves[1] == 0], against, steps // 3, seed)
-        prior = estimated_prior(_forward(w, xp[halves[0] == 1])[1], _forward(w, xu[halves[1] == 1])[1])
-    else:
-        prior = 0.5
+    # the prior is estimated on the half that the ordering classifier has not seen, if there are two
+    (p0, p1), (u0, u1) = ((x[0::2], x[1::2] if len(x) > 1 else x) for x in (xp, xu))
+    w = _minimised(p0, u0, against, steps // 3, seed)
+    prior = estimated_prior(_forward(w, p1)[1], _forward(w, u1)[1])
     w = _minimised(xp, xu, lambda fp, fu: pu_risk(fp, fu, prior), steps, seed + 1)
     return w | {"shift": shift, "scale": scale, "prior": np.array([prior])}
 
 
+def scaled(x: np.ndarray, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    out = np.clip((x - shift) / scale, -6, 6)
+    out[:, len(NAMES) :] *= DAMPED
+    return out
+
+
 def score(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    return _sigmoid(_forward(w, np.clip((x - w["shift"]) / w["scale"], -6, 6))[1])
+    return _sigmoid(_forward(w, scaled(x, w["shift"], w["scale"]))[1])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), pa.array(rows, pa.list_(pa.float64()))], ["positive", "unlabelled", "x"])
+        x = np.array([features(t.as_py()) for t in batch.column("text")], np.float32).reshape(batch.num_rows, WIDTH)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("unlabelled"), lists], ["positive", "unlabelled", "x"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
@@ -144,7 +169,7 @@ def _scores(batches: Iterator[pa.RecordBatch], w: dict[str, np.ndarray] | None)
         n = batch.num_rows
         out = np.full(n, 0.5)
         if w is not None and n:
-            out = score(w, np.array([features(t.as_py()) for t in batch.column("text")]))
+            out = np.concatenate([score(w, np.array([features(t.as_py()) for t in batch.column("text").slice(at, 1000)], np.float32)) for at in range(0, n, 1000)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
 
 
@@ -152,7 +177,8 @@ def fitted(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAM
     """Weights learned from the documents whose label is of quality 1 and from unlabelled ones,
     among those ``usable`` (of doc_id) holds for; None without both.
 
-    The sample is bounded: about ``sample`` documents of either kind, taken by a hash of doc_id.
+    The sample is bounded: about ``sample`` documents of either kind, taken by a hash of doc_id, and
+    2 * ``sample`` rows in all, however often a doc_id is repeated.
     """
     order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30))
     share = lambda n: F.lit(int(min(1.0, sample / max(1, n)) * (1 << 30)))
@@ -164,8 +190,9 @@ def fitted(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAM
     chosen = good.where(order < share(n_good)).withColumn("positive", F.lit(True))
     rows = docs.where(usable).select("doc_id", "text", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("web")), F.lit(1 << 30)) < share(n_all)).alias("unlabelled"))
     rows = rows.join(F.broadcast(chosen), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).where(F.col("positive") | F.col("unlabelled"))
-    found = rows.select("text", "positive", "unlabelled").mapInArrow(_features, "positive boolean, unlabelled boolean, x array<double>").orderBy("positive", "unlabelled", "x").toArrow()
-    x = np.array(found.column("x").to_pylist()).reshape(-1, len(NAMES))
+    found = rows.select("text", "positive", "unlabelled").mapInArrow(_features, "positive boolean, unlabelled boolean, x array<float>")
+    found = found.orderBy(F.xxhash64("x"), "positive", "unlabelled").limit(2 * sample).toArrow()
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH).astype(np.float64)
     mix = np.random.default_rng(1).permutation(len(x))
     x, p, u = x[mix], found.column("positive").to_numpy()[mix], found.column("unlabelled").to_numpy()[mix]
     if not p.any() or not u.any():

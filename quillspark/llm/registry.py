@@ -31,7 +31,7 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
 
 
 def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP4 = r"""
 WITH t AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text, text AS raw,
          role IS NULL OR role = 'system' AS context, row_number() OVER () AS id
   FROM conversations WHERE conv_id IS NOT NULL),
 who AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE NOT context),
@@ -71,13 +71,13 @@ seg AS (
   FROM t JOIN who USING (conv_id)),
 named AS (
   SELECT *, CASE WHEN role_as = 'user' THEN role END AS name,
-         '<|im_start|>' || role_as || CASE WHEN role_as = 'user' THEN ' name=' || role ELSE '' END || chr(10) AS header
+         '<|im_start|>' || role_as || CASE WHEN role_as = 'user' THEN ' name=' || replace(replace(role, '<|', '< |'), chr(10), ' ') ELSE '' END || chr(10) AS header
   FROM seg),
 placed AS (
   SELECT *, header || text || '<|im_end|>' || chr(10) AS segment,
          row_number() OVER w - 1 AS seq,
          coalesce(sum(length(header || text || '<|im_end|>' || chr(10))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg_start
-  FROM named WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role NULLS FIRST, text, id))
+  FROM named WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role NULLS FIRST, raw NULLS FIRST, id))
 SELECT conv_id, perspective, CAST(seq AS BIGINT) AS seq, turn, role_as, name, segment, role_as = 'assistant' AS trained,
        CAST(seg_start AS BIGINT) AS seg_start,
        CAST(seg_start + length(header) AS BIGINT) AS mask_start,
@@ -120,7 +120,7 @@ WHERE n_shared >= 0.8 * n_shingles
 _OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM s),
 w AS (SELECT *, idx % 3 AS kind, CASE idx % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM n),

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("quillspark.llm")
+from pyspark.sql import functions as F  # noqa: E402
 from quillspark.llm import langid, quality  # noqa: E402
 
 SYLLABLES = {"aa": "the and ing ion ent", "bb": "der die ung sch ich", "cc": "que les ment eau oui"}
@@ -36,34 +37,53 @@ def test_gradient_is_that_of_the_loss():
             assert grad[k][i] == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=1e-3, abs=1e-6)
 
 
+def plain(w, text, first=None, last=None, lo=0, hi=None):
+    """Probabilities of each position from first to last, step by step; states are zero at lo and hi."""
+    ids, n = np.frombuffer(text, np.uint8).astype(int), w["cf"].shape[0]
+    hi = len(ids) if hi is None else hi
+    states = {}
+    for d in "fb":
+        h, states[d] = np.zeros((n, 1)), {}
+        for i in range(lo, hi) if d == "f" else range(hi - 1, lo - 1, -1):
+            a, u = w[f"W{d}"][:, [ids[i]]], w[f"U{d}"] @ h
+            z, r = langid.sigmoid(a[:n] + u[:n]), langid.sigmoid(a[n : 2 * n] + u[n : 2 * n])
+            c = np.tanh(a[2 * n :] + r * (u[2 * n :] + w[f"c{d}"]))
+            h = states[d][i] = c + z * (h - c)
+    out = []
+    for i in range(lo if first is None else first, hi if last is None else last):
+        x = w["Vf"] @ states["f"][i] + w["Vb"] @ states["b"][i] + w["b"]
+        q = np.exp(x - x.max())
+        out.append((q / q.sum())[:, 0])
+    return np.array(out).reshape(-1, w["b"].shape[0])
+
+
 def test_reader_is_the_network_of_training():
     rng = np.random.default_rng(1)
     w = langid.new_weights(3, 8, rng)
-    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (1, 5, 30, 31, 95, 0)]
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (1, 5, 30, 31, 32, 33, 95, 200, 0)]
     got = langid.Reader(w, columns=3, segment=32).probabilities(texts)
     for t, p in zip(texts, got):
-        total = np.zeros(3)
-        for at in range(0, len(t), 32):
-            ids = np.frombuffer(t[at : at + 32], np.uint8)[:, None].astype(np.int64)
-            logs = [-langid.loss_and_gradient(w, ids, np.array([k]))[0] for k in range(3)]
-            # the mean log-probabilities of one position at a time are its probabilities
-            states = {}
-            for d in "fb":
-                h, states[d] = np.zeros((8, 1)), {}
-                for i in range(len(ids)) if d == "f" else range(len(ids) - 1, -1, -1):
-                    a, u = w[f"W{d}"][:, ids[i]], w[f"U{d}"] @ h
-                    z, r = langid.sigmoid(a[:8] + u[:8]), langid.sigmoid(a[8:16] + u[8:16])
-                    c = np.tanh(a[16:] + r * (u[16:] + w[f"c{d}"]))
-                    h = states[d][i] = c + z * (h - c)
-            all_logs = []
-            for i in range(len(ids)):
-                x = w["Vf"] @ states["f"][i] + w["Vb"] @ states["b"][i] + w["b"]
-                q = np.exp(x - x.max())
-                q = (q / q.sum())[:, 0]
-                total += q
-                all_logs.append(np.log(q + 1e-12))
-            assert np.allclose(np.mean(all_logs, axis=0), logs, atol=1e-4)
-        assert np.allclose(p, total / max(1, len(t)), atol=1e-4)
+        parts = [plain(w, t, at, min(len(t), at + 32), max(0, at - langid.WARM), min(len(t), at + 32 + langid.WARM)) for at in range(0, len(t), 32)]
+        want = np.concatenate(parts).mean(axis=0) if t else np.zeros(3)
+        assert np.allclose(p, want, atol=1e-4)
+        # what lies farther than WARM bytes away hardly counts
+        assert not t or np.allclose(p, plain(w, t).mean(axis=0), atol=2e-3)
+    ids = np.frombuffer(texts[3], np.uint8)[:, None].astype(np.int64)
+    for k in range(3):
+        assert -langid.loss_and_gradient(w, ids, np.array([k]))[0] == pytest.approx(np.log(plain(w, texts[3])[:, k]).mean(), abs=1e-4)
+
+
+def test_language_query_against_the_plain_network(spark):
+    rnd = random.Random(9)
+    rows = [(i, prose(rnd, lang, rnd.choice([5, 60, 300])), lang, 1, 2) for i, lang in enumerate(rnd.choice(list(SYLLABLES)) for _ in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text int, _letters int")
+    w, names = langid.fitted(docs, langid.fold(F.col("doc_id")) != 1, steps=60)
+    got = {r.doc_id: r for r in langid.identified(docs, steps=60).collect()}
+    for i, text, *_ in rows:
+        p = plain(w, text.lower().encode()).mean(axis=0)
+        assert got[i].lang_pred == names[p.argmax()] and got[i].score == pytest.approx(p.max(), abs=2e-3)
+    kept = langid.predicted(docs, w, names, keep=tuple(docs.columns))
+    assert kept.columns == [*docs.columns, "lang_pred", "score"] and {(r._text, r._letters) for r in kept.collect()} == {(1, 2)}
 
 
 def test_languages_of_held_out_texts(spark):
@@ -134,3 +154,32 @@ def test_quality_of_held_out_texts(spark):
     assert len(out) > 100 and sum(a == b for a, b in out) >= 0.95 * len(out)
     none = quality.scored(d, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert {r.score for r in none} == {0.5} and quality.scored(d.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_quality_query_against_plain_features(spark):
+    """Features counted one by one, and the network's formula."""
+    rnd = random.Random(10)
+    docs = [(i, prose(rnd, rnd.choice(list(SYLLABLES)), rnd.choice([10, 60])) if i % 3 else "A! " * 20) for i in range(90)] + [(200, None), (201, "")]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 90, 2)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    w = quality.fitted(d, q, langid.fold(F.col("doc_id")) != 1, steps=100)
+    got = {r.doc_id: r.score for r in quality.scored(d, q, steps=100).collect()}
+
+    def shares(codes):
+        out = np.zeros(quality.HASHED)
+        for c in codes:
+            out[(c * 0x9E3779B97F4A7C15 % 2**64) >> 57] += 1 / len(codes)
+        return out**0.5
+
+    for i, text in docs:
+        data, words = (text or "").encode(), (text or "").split()
+        x = np.concatenate([quality.statistics(text), shares([a << 8 | b for a, b in zip(data, data[1:])]), shares([int(quality.word_hashes([s])[0]) for s in words])])
+        z = np.clip((x - w["shift"]) / w["scale"], -6, 6) * np.where(np.arange(len(x)) < len(quality.NAMES), 1, quality.DAMPED)
+        out = np.tanh(z @ w["A"] + w["a"]) @ w["v"] + w["b"][0]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-out)), abs=1e-3)
+
+
+def test_few_rows_and_a_repeated_id(spark):
+    d = spark.createDataFrame([(0, "good text")] * 50 + [(2, "other !!"), (3, "more")], "doc_id long, text string")
+    got = quality.scored(d, spark.createDataFrame([(0, 1)], "doc_id long, quality int"), sample=5, steps=30).collect()
+    assert len(got) == 52 and all(0 <= r.score <= 1 for r in got)
