@@ -63,13 +63,15 @@ def noise_band(df: DataFrame, keys: Sequence[str] = ("question",), value: str =
 
 def box_summary(df: DataFrame, keys: Sequence[str] = ("question", "dataset"), value: str = "value") -> DataFrame:
     """Quartiles and whiskers: the outermost values within 1.5 interquartile ranges."""
-    x = finite(F.col(value))
-    clean = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
-    q = clean.groupBy(*keys).agg(F.count("_x").alias("n"), F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    counts = df.where(finite(F.col(value)).isNotNull()).groupBy(*keys, finite(F.col(value)).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    # one pass over the rows; what follows works on counts of distinct values
+    group = Window.partitionBy(*keys)
+    q = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n"))
+    counts = counts.withColumn("_q", q.over(group))
     reach = F.lit(1.5) * (F.col("_q")[2] - F.col("_q")[0])
-    inside = (F.col("_x") >= F.col("_q")[0] - reach) & (F.col("_x") <= F.col("_q")[2] + reach)
-    ends = clean.join(q, list(keys)).where(inside).groupBy(*keys).agg(F.min("_x").alias("whisker_low"), F.max("_x").alias("whisker_high"))
-    return q.join(ends, list(keys)).select(*keys, "n", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "whisker_low", "whisker_high")
+    inside = F.when((F.col("_x") >= F.col("_q")[0] - reach) & (F.col("_x") <= F.col("_q")[2] + reach), F.col("_x"))
+    out = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.first("_q").alias("_q"), F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
+    return out.select(*keys, "n", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "whisker_low", "whisker_high")
 
 
 def run_summary(df: DataFrame, attempts: str = "attempts", ok: str = "ok") -> DataFrame:

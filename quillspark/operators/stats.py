@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,54 +29,65 @@ def bh_adjust(df: DataFrame, family: Sequence[str] = (), p: str = "p", out: str
 
 
 def rank_sums(df: DataFrame, keys: Sequence[str], side: str, value: str, group: str = "dataset", baseline: str = BASELINE) -> DataFrame:
-    """For each of ``keys`` and each group but the baseline: the sizes, the rank sum of the
+    """For each of ``keys`` and each group but the baseline: the sizes, the means, the rank sum of the
     baseline among both, and the tie term; ``side`` names the column that tells groups apart.
 
-    Values are counted first, so ranks are running sums over distinct values and the rows that are
-    sorted are as many as there are distinct values.
+    Values are counted first, in one pass over the rows, so ranks are running sums over distinct
+    values and the rows that are sorted are as many as there are distinct values. The baseline's
+    counts are then copied to each group of their key. Groups without a finite value have n2 = 0.
     """
-    counts = df.where(finite(F.col(value)).isNotNull()).groupBy(*keys, F.col(side).alias(group), finite(F.col(value)).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.where(F.col(group) != baseline).select(*keys, group).distinct()
-    base = counts.where(F.col(group) == baseline).drop(group).join(groups, list(keys)) if keys else counts.where(F.col(group) == baseline).drop(group).crossJoin(F.broadcast(groups))
-    base = base.select(*keys, group, "x", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
-    other = counts.where(F.col(group) != baseline).select(*keys, group, "x", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    both = base.unionByName(other).groupBy(*keys, group, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    x = finite(F.col(value))
+    counts = df.groupBy(*keys, F.col(side).alias(group), x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    is_base = F.col(group) == baseline
+    others = F.collect_set(F.when(F.col(group) != baseline, F.col(group))).over(Window.partitionBy(*keys))
+    spread = counts.withColumn("others", others).withColumn("n", F.when(F.col("x").isNotNull(), F.col("n")).otherwise(F.lit(0)))
+    zero = F.lit(0).cast("long")
+    spread = spread.select(*keys, F.explode(F.when(is_base, F.col("others")).otherwise(F.array(group))).alias(group), "x", F.when(is_base, F.col("n")).otherwise(zero).alias("a"), F.when(is_base, zero).otherwise(F.col("n")).alias("b"))
+    both = spread.where(F.col(group).isNotNull()).groupBy(*keys, group, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     before = Window.partitionBy(*keys, group).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     t = (F.col("a") + F.col("b")).cast("double")
     ranked = both.withColumn("rank", F.coalesce(F.sum(F.col("a") + F.col("b")).over(before), F.lit(0)).cast("double") + (t + F.lit(1.0)) / F.lit(2.0))
+    mean = lambda n: F.try_divide(F.sum(F.col("x").cast("double") * F.col(n)), F.sum(n).cast("double"))
     return ranked.groupBy(*keys, group).agg(
-        F.sum("a").cast("double").alias("n1"), F.sum("b").cast("double").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum(t * t * t - t).alias("ties"), F.max(t).alias("most")
+        F.sum("a").cast("double").alias("n1"), F.sum("b").cast("double").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum(t * t * t - t).alias("ties"), F.max(t).alias("most"), mean("a").alias("base_mean"), mean("b").alias("mean")
     )
 
 
+def u_counts(a: int, b: int) -> np.ndarray:
+    """How many of the orders of a and b values without ties have each U from 0 to a * b: the
+    coefficients of the Gaussian binomial, by its product formula, in whole numbers of any size."""
+    counts = np.zeros(a * b + 1, object)
+    counts[0] = 1
+    for i in range(1, a + 1):
+        if b + i <= a * b:
+            counts[b + i :] = counts[b + i :] - counts[: a * b + 1 - b - i]
+        for r in range(min(i, a * b + 1)):
+            counts[r::i] = np.cumsum(counts[r::i])
+    return counts
+
+
 @F.pandas_udf(DoubleType())
 def _exact_mwu(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
     """Two-sided p of U from its exact distribution without ties."""
 
     def one(a: float, b: float, x: float) -> float:
-        a, b = int(a), int(b)
-        counts = [[0] * (a * b + 1) for _ in range(a + 1)]
-        counts[0][0] = 1
-        for j in range(1, a + b + 1):  # the j-th smallest may go to the first side
-            for k in range(min(a, j), 0, -1):
-                shift = j - k
-                if shift <= b:
-                    for v in range(a * b, shift - 1, -1):
-                        counts[k][v] += counts[k - 1][v - shift]
-        upper = sum(counts[a][math.ceil(x) :])
-        return min(1.0, 2 * upper / math.comb(a + b, a))
+        a, b = sorted((int(a), int(b)))
+        return min(1.0, 2 * int(u_counts(a, b)[math.ceil(x) :].sum()) / math.comb(a + b, a))
 
     return pd.Series([one(a, b, x) for a, b, x in zip(n1, n2, u)])
 
 
-def mann_whitney(df: DataFrame, keys: Sequence[str] = ("question",), side: str = "dataset", value: str = "value", baseline: str = BASELINE, least: int = 3, exact: bool = True) -> DataFrame:
-    """keys, dataset, n1, n2, u, z and two-sided p of every group against the baseline.
+def mann_whitney(df: DataFrame, keys: Sequence[str] = ("question",), side: str = "dataset", value: str = "value", baseline: str = BASELINE, least: int = 3, exact: bool = True, means: bool = False) -> DataFrame:
+    """keys, dataset, n1, n2, u, z and two-sided p of every group against the baseline; with
+    ``means`` also base_mean and mean, and rows of groups without a finite value.
 
     Normal approximation with tie and continuity correction; with ``exact``, the exact
     distribution where a side has at most 8 values and there are no ties. p is null where a side
     has fewer than ``least`` finite values, and 1 where all values are equal.
     """
     s = rank_sums(df, keys, side, value, baseline=baseline)
+    if not means:
+        s = s.where("n2 > 0")
     n = F.col("n1") + F.col("n2")
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + F.lit(1.0)) / F.lit(2.0)
     product = F.col("n1") * F.col("n2")
@@ -87,11 +99,11 @@ def mann_whitney(df: DataFrame, keys: Sequence[str] = ("question",), side: str =
     p = F.when(F.col("z") < 0, F.when(enough, F.lit(1.0))).otherwise(p)
     out = s.withColumn("p", p)
     if exact:
-        small = enough & (F.least("n1", "n2") <= 8) & (F.col("most") == 1) & (n <= 400)
+        small = enough & (F.least("n1", "n2") <= 8) & (F.col("most") == 1)
         top = F.greatest(F.col("u"), product - F.col("u"))
         dummy = F.when(small, F.col("n1")).otherwise(F.lit(1.0))
         out = out.withColumn("p", F.when(small, _exact_mwu(dummy, F.when(small, F.col("n2")).otherwise(F.lit(1.0)), F.when(small, top).otherwise(F.lit(0.0)))).otherwise(F.col("p")))
-    return out.select(*keys, F.col("dataset"), F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", "z", "p")
+    return out.select(*keys, F.col("dataset"), F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"), "u", "z", "p", *(("base_mean", "mean") if means else ()))
 
 
 def chi_square(counts: DataFrame, keys: Sequence[str] = ("question",), side: str = "dataset", category: str = "option", n: str = "n", baseline: str = BASELINE) -> DataFrame:
@@ -116,7 +128,5 @@ def mean_shift(df: DataFrame, keys: Sequence[str] = ("question",), side: str = "
     """keys, dataset, mean, base_mean and shift: each group's mean of finite values less the
     baseline's."""
     means = df.groupBy(*keys, side).agg(F.avg(finite(F.col(value))).alias("mean"))
-    base = means.where(F.col(side) == baseline).select(*keys, F.col("mean").alias("base_mean"))
-    others = means.where(F.col(side) != baseline)
-    joined = others.join(base, list(keys), "left") if keys else others.crossJoin(base)
-    return joined.withColumn("shift", F.col("mean") - F.col("base_mean"))
+    base = F.max(F.when(F.col(side) == baseline, F.col("mean"))).over(Window.partitionBy(*keys))
+    return means.withColumn("base_mean", base).where(F.col(side) != baseline).withColumn("shift", F.col("mean") - F.col("base_mean"))

@@ -33,9 +33,8 @@ word_energy = embedding_fidelity
 
 def sentiment_shift(df: DataFrame, value: str = "sentiment_score", exact: bool = True) -> DataFrame:
     """question, dataset, shift, p, p_adj: mean sentiment less the baseline's, Mann-Whitney."""
-    shift = stats.mean_shift(df, value=value)
-    tests = stats.mann_whitney(df, value=value, exact=exact)
-    return _adjusted(shift.join(tests, ["question", "dataset"], "left"))
+    tests = stats.mann_whitney(df, value=value, exact=exact, means=True)
+    return _adjusted(tests.withColumn("shift", F.col("mean") - F.col("base_mean")))
 
 
 def open_wordcounts(df: DataFrame, numeric: Sequence[str] = ("n_words", "word_count"), texts: Sequence[str] = ("normalized_raw", "raw")) -> DataFrame:
@@ -78,9 +77,8 @@ def skepticism(df: DataFrame, exact: bool = True, least: int = 5) -> DataFrame:
     ``least`` values. One family."""
     enough = df.where((F.col("dataset") == BASELINE) & finite(F.col("value")).isNotNull()).agg((F.count(F.lit(1)) >= least).alias("ok"))
     rows = df.withColumn("all", F.lit("S"))
-    shift = stats.mean_shift(rows, keys=("all",))
-    tests = stats.mann_whitney(rows, keys=("all",), exact=exact)
-    out = stats.bh_adjust(shift.join(tests, ["all", "dataset"], "left"), ("all",), ties=("dataset",))
+    tests = stats.mann_whitney(rows, keys=("all",), exact=exact, means=True).withColumn("shift", F.col("mean") - F.col("base_mean"))
+    out = stats.bh_adjust(tests, ("all",), ties=("dataset",))
     return out.crossJoin(F.broadcast(enough)).where("ok").select("dataset", F.col("shift").alias("mean_diff_vs_human"), "p", "p_adj")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.numeric import erfc_sql, rounded, stars
 from ..operators import agg, enrich, keyness, lookup, reshape, resample, stats, vectors
-from ..schema import BASELINE, LIKERT_TEXTS, SYSTEMS
+from ..schema import BASELINE, BOOTSTRAPS, LIKERT_TEXTS, SPLITS, SYSTEMS
 from . import analyses, export
 from . import surrogates as s
 
@@ -328,13 +328,13 @@ _BOOT = (
 )
 
 
-@query(_BOOT.format(reps=20) + _ENTROPY.format(k="question, dataset, rep", source="w") + " SELECT question, dataset, CAST(rep AS INTEGER) AS rep, round(entropy, 6) + 0e0 AS entropy FROM e")
+@query(_BOOT.format(reps=BOOTSTRAPS) + _ENTROPY.format(k="question, dataset, rep", source="w") + " SELECT question, dataset, CAST(rep AS INTEGER) AS rep, round(entropy, 6) + 0e0 AS entropy FROM e")
 def bootstrap_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.bootstrap_entropy(s.words(spark, sf_dir), n=20).withColumn("entropy", r6("entropy"))
+    return resample.bootstrap_entropy(s.words(spark, sf_dir)).withColumn("entropy", r6("entropy"))
 
 
 @query(
-    _BOOT.format(reps=40) + _ENTROPY.format(k="question, dataset, rep", source="w").replace("c AS", "bc AS").replace("FROM c)", "FROM bc)").replace("t AS", "bt AS").replace("FROM t ", "FROM bt ").replace("h AS (", "bh AS (").replace("FROM h)", "FROM bh)").replace("e AS (", "be AS (")
+    _BOOT.format(reps=BOOTSTRAPS) + _ENTROPY.format(k="question, dataset, rep", source="w").replace("c AS", "bc AS").replace("FROM c)", "FROM bc)").replace("t AS", "bt AS").replace("FROM t ", "FROM bt ").replace("h AS (", "bh AS (").replace("FROM h)", "FROM bh)").replace("e AS (", "be AS (")
     + ", src AS (SELECT question, dataset, round(entropy, 9) AS v FROM be), "
     + _ENTROPY.format(k="question, dataset", source="word_s").replace("c AS", "pc AS").replace("FROM c)", "FROM pc)").replace("t AS", "pt AS").replace("FROM t ", "FROM pt ").replace("h AS (", "ph AS (").replace("FROM h)", "FROM ph)").replace("e AS (", "pe AS (") + ", "
     + _mwu_sql("src", "question", "j AS (SELECT m.question, m.dataset, h.entropy AS human, m.entropy AS model, m.entropy - h.entropy AS value, p.p FROM pe m LEFT JOIN pe h ON h.question = m.question AND h.dataset = 'human' LEFT JOIN p ON p.question = m.question AND p.dataset = m.dataset WHERE m.dataset <> 'human'), ")
@@ -346,7 +346,7 @@ def entropy_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = agg.normalized_entropy(words).select("question", "dataset", "entropy")
     base = point.where(F.col("dataset") == BASELINE).select("question", F.col("entropy").alias("human"))
     # sums in another order differ in the last digits, which would break ties differently
-    boot = resample.bootstrap_entropy(words, n=40).withColumn("value", F.round("entropy", 9))
+    boot = resample.bootstrap_entropy(words).withColumn("value", F.round("entropy", 9))
     tests = stats.mann_whitney(boot, exact=False).select("question", "dataset", "p")
     delta = point.where(F.col("dataset") != BASELINE).join(base, "question", "left").join(tests, ["question", "dataset"], "left").withColumn("value", F.col("entropy") - F.col("human"))
     out = stats.bh_adjust(delta, ("question",), ties=("dataset",))
@@ -411,7 +411,7 @@ def embedding_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLIT = (
-    f"WITH {s.OPEN_SQL}, v AS (SELECT question, respondent_id, sentiment_score AS v FROM open_s WHERE dataset = 'human'), reps AS (SELECT unnest(range(40)) AS rep), "
+    f"WITH {s.OPEN_SQL}, v AS (SELECT question, respondent_id, sentiment_score AS v FROM open_s WHERE dataset = 'human'), reps AS (SELECT unnest(range({SPLITS})) AS rep), "
     "o AS (SELECT question, rep, respondent_id, row_number() OVER (PARTITION BY question, rep ORDER BY md5('42|split|' || question || '|' || rep || '|' || respondent_id), respondent_id) AS r, count(*) OVER (PARTITION BY question, rep) AS n FROM (SELECT DISTINCT question, respondent_id FROM v) CROSS JOIN reps), "
     "f AS (SELECT o.question, o.rep, avg(v.v) FILTER (r <= n // 2) - avg(v.v) FILTER (r > n // 2) AS value FROM o JOIN v ON v.question = o.question AND v.respondent_id = o.respondent_id GROUP BY ALL)"
 )
@@ -419,7 +419,7 @@ _SPLIT = (
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = s.open_answers(spark, sf_dir).where(F.col("dataset") == BASELINE).withColumn("value", F.col("sentiment_score"))
-    return resample.split_half_mean(people, n=40)
+    return resample.split_half_mean(people)
 
 
 @query(_SPLIT + " SELECT question, CAST(rep AS INTEGER) AS rep, round(value, 6) + 0e0 AS value FROM f")

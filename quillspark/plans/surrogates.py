@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..schema import BASELINE, SYSTEMS
+from ..schema import BASELINE
+
+#: Datasets that rows are dealt to by number.
+DEALT = ("human", "gpt", "gemma", "gpt-oss", "llama", "qwen")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +69,7 @@ LIKERT_SQL = """likert_s AS (
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, respondent_id, question, key, sentiment_score."""
     key = F.get_json_object("props", "$.k")
-    names = F.array(*[F.lit(s) for s in SYSTEMS])
+    names = F.array(*[F.lit(s) for s in DEALT])
     return table(spark, sf_dir, "events").select(
         F.element_at(names, (F.col("user_id") % 6 + 1).cast("int")).alias("dataset"),
         F.col("user_id").alias("respondent_id"),
@@ -85,7 +88,7 @@ WORDS_SQL = """word_s AS (
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, question, id, embedding."""
-    names = F.array(*[F.lit(s) for s in SYSTEMS])
+    names = F.array(*[F.lit(s) for s in DEALT])
     return table(spark, sf_dir, "embeddings").where("label < 6").select(
         F.element_at(names, F.col("label") + 1).alias("dataset"),
         F.when(F.col("vec_id") % 2 == 0, "q1").otherwise("q2").alias("question"),

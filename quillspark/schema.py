@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 BASELINE = "human"
-SYSTEMS = ("human", "gpt", "gemma", "gpt-oss", "llama", "qwen")
+#: In the order in which results are shown.
+SYSTEMS = ("human", "gemma", "gpt-oss", "llama", "qwen", "gpt")
 OPEN = ("q1", "q2")
 WORDS = tuple(f"q{i}" for i in range(3, 17))
 LIKERT = ("q17", "q18", "q19")

@@ -19,7 +19,7 @@ def test_library_does_not_import_the_training_data_part():
 def test_entry_without_the_training_data_part(tmp_path):
     import shutil
 
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'likert_chi2' in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r").returncode == 0
 

@@ -111,3 +111,30 @@ def test_box_and_band(spark):
     r = agg.box_summary(df).first()
     assert (r.q25, r.median, r.q75, r.whisker_low, r.whisker_high) == (2, 4, 8, 1, 8)
     assert agg.noise_band(df).first().abs_q95 == pytest.approx(81.6)
+
+
+def test_exact_counts_are_those_of_all_orders():
+    import itertools
+
+    from quillspark.operators.stats import u_counts
+
+    for a, b in ((1, 1), (1, 5), (2, 3), (3, 3), (4, 3), (5, 4)):
+        want = [0] * (a * b + 1)
+        for first in itertools.combinations(range(a + b), a):
+            want[sum(x - i for i, x in enumerate(first))] += 1
+        assert u_counts(a, b).tolist() == want
+    assert sum(u_counts(8, 3000).tolist()) == __import__("math").comb(3008, 8)
+
+
+def test_texts_are_scanned_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from quillspark.operators import agg
+    from quillspark.plans import analyses
+
+    rows = [("q1", d, f"{'w ' * (i % 7)}") for i in range(40) for d in ("human", "a", "b")]
+    spark.createDataFrame(rows, "question string, dataset string, raw string").write.parquet(str(tmp_path / "t"))
+    counts = analyses.open_wordcounts(spark.read.parquet(str(tmp_path / "t")))
+    for df in (analyses.sentiment_shift(counts, value="word_count", exact=False), agg.box_summary(counts, value="word_count")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+        assert df.where(F.col("question") == "q1").count() in (2, 3)
