@@ -51,13 +51,25 @@ def matrix(column: pa.ChunkedArray, scale: int) -> dict[int, tuple[np.ndarray, n
 def exact_type(q: np.ndarray, x: np.ndarray) -> type:
     """The narrowest type in which every sum of products of integers is exact."""
     most = float(np.abs(q).sum(axis=1).max(initial=0) * np.abs(x).max(initial=0))
-    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
+
+
+def whole_numbers(x: np.ndarray, kind: type) -> np.ndarray:
+    return np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) if kind is object else x.astype(kind)
+
+
+def as_long(score: np.ndarray) -> np.ndarray:
+    """Scores as longs; what is beyond these is the greatest or the least one."""
+    if score.dtype == object:
+        score = np.array([max(-(2**63), min(2**63 - 1, v)) for v in score], object)
+    return score.astype(np.int64)
 
 
 def local_scores(q: np.ndarray, x: np.ndarray, nodes: int) -> list[np.ndarray]:
     kind = exact_type(q, x)
+    q, x = whole_numbers(q, kind), whole_numbers(x, kind)
     cuts = np.linspace(0, q.shape[1], min(nodes, q.shape[1]) + 1).astype(int)
-    return [q[:, a:b].astype(kind) @ x[:, a:b].T.astype(kind) for a, b in zip(cuts, cuts[1:])]
+    return [q[:, a:b] @ x[:, a:b].T for a, b in zip(cuts, cuts[1:])]
 
 
 def tops(score: np.ndarray, k: int) -> np.ndarray:
@@ -80,7 +92,7 @@ def phase_one(batches: Iterator[pa.RecordBatch], queries: dict, scale: int, node
                 # entries of several lists count once; the query's own rows don't count
                 listed = np.zeros(whole.shape, bool)
                 for p in part:
-                    np.put_along_axis(listed, tops(p, k), True, axis=1)
+                    np.put_along_axis(listed, tops(p.astype(np.float64) if p.dtype == object else p, k), True, axis=1)
                 listed &= ids[rows[at : at + ROWS]][None, :] != own[:, None]
                 whole[~listed] = -np.inf
                 both = np.concatenate([best[n], np.take_along_axis(whole, tops(whole, k), axis=1)], axis=1)
@@ -116,13 +128,14 @@ def phase_two_three(batches: Iterator[pa.RecordBatch], queries: dict, cutoff: np
                 seen = np.zeros(part[0].shape, bool)
                 upper = np.zeros(part[0].shape)
                 for p in part:
-                    seen |= p >= share
-                    upper += np.maximum(p, share)
+                    near = p.astype(np.float64) if p.dtype == object else p
+                    seen |= near >= share
+                    upper += np.maximum(near, share)
                 keep = seen & (upper >= least[:, None]) & (here[None, :] != own[:, None])
                 q_at, x_at = np.nonzero(keep)
-                score = np.sum([p[q_at, x_at] for p in part], axis=0).astype(np.int64) if len(q_at) else np.empty(0, np.int64)
-                ok = score >= least[q_at]
-                q_at, x_at, score = q_at[ok], x_at[ok], score[ok]
+                score = np.sum([p[q_at, x_at] for p in part], axis=0) if len(q_at) else np.empty(0, np.int64)
+                ok = score.astype(np.float64) >= least[q_at]
+                q_at, x_at, score = q_at[ok], x_at[ok], as_long(score[ok])
                 # rows are in order of id, so a stable sort by score leaves ties so
                 order = np.lexsort((x_at, -score, q_at))
                 q_at, x_at, score = q_at[order], x_at[order], score[order]
@@ -144,7 +157,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
     a null vec_id, and vectors that are null, empty or hold null or non-finite components, take
     no part; vectors of different lengths are not compared. Repeated candidate rows each count;
     a repeated query row is answered once for each row. A query without candidates has no rows.
-    Scores are exact up to 2**63. Further columns are ignored. Runs actions.
+    Scores are exact; beyond the range of a long they are its greatest or
+    least value, and ties. Further columns are ignored. Runs actions.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))

@@ -111,3 +111,16 @@ def test_mix_meets_targets_and_schedules(spark):
     early = [r for r in order if r.source == "a"]
     assert sum(r.position < 0.5 for r in early) > 0.55 * len(early)  # the first source's schedule falls
     assert mixing.mix_plan(df.limit(0)).count() == 0 and mixing.training_order(df.limit(0)).count() == 0
+
+
+def test_scores_beyond_longs_are_the_greatest_long(spark):
+    from quillspark.llm import topk
+
+    big = 2.0**40
+    rows = [(0, [big, 1.0]), (1, [big, 0.0]), (2, [-big, 0.0]), (3, [1.0, 2.0]), (4, [big / 4, 0.0]), (5, [2.0**-3, 5.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4).orderBy("rank").collect()
+    top = 2**63 - 1
+    whole = {i: [int(64 * v) for v in e] for i, e in rows}
+    score = {i: max(-top - 1, min(top, sum(a * b for a, b in zip(whole[0], whole[i])))) for i in whole if i}
+    want = sorted(score.items(), key=lambda s: (-s[1], s[0]))[:4]
+    assert [(r.vec_id, r.score) for r in got] == want and want[0][1] == top == want[1][1]
