@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -32,6 +32,31 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]): ...
 
 
+class TextBackend(Protocol):
+    """What a language pipeline says of a text: its sentences, and for each word the text, the
+    lemma and whether the vocabulary has it. Made once a task."""
+
+    def sentences(self, text: str) -> list[str]: ...
+
+    def words(self, text: str) -> list[tuple[str, str, bool]]: ...
+
+
+class RegexBackend:
+    """The words and sentences of the Column functions, with a lemma dictionary and a vocabulary if
+    there are any; without a vocabulary every word is known."""
+
+    def __init__(self, lemmas: Mapping[str, str] | None = None, vocabulary: Collection[str] | None = None):
+        self.lemmas = {k.lower(): v for k, v in (lemmas or {}).items()}
+        self.vocabulary = None if vocabulary is None else {w.lower() for w in vocabulary}
+
+    def sentences(self, text: str) -> list[str]:
+        return [s.strip() for s in re.split(r"(?<=[.!?])(?![.!?])", text) if s.strip()]
+
+    def words(self, text: str) -> list[tuple[str, str, bool]]:
+        found = re.findall(r"\w+(?:['’]\w+)*", text)
+        return [(w, self.lemmas.get(w.lower(), w.lower()), self.vocabulary is None or w.lower() in self.vocabulary) for w in found]
+
+
 class StubResponder:
     """Answers like a model would, as a function of the prompt alone; for tests and dry runs.
 
@@ -180,3 +205,20 @@ def labelled(texts: DataFrame, responder: Callable[[], Responder], column: str =
 
     out = df.mapInPandas(run, "text string, attempts int, label string, emotions array<string>")
     return out.withColumn("emotions", tx.known_emotions(F.col("emotions")))
+
+
+def annotated(df: DataFrame, backend: Callable[[], TextBackend] = RegexBackend, column: str = "normalized_raw") -> DataFrame:
+    """Adds words, lemmas, n_sentences and n_unknown by a language pipeline; null counts as empty.
+    The columns replace those of the same names."""
+    new = ("words", "lemmas", "n_sentences", "n_unknown")
+    df = df.drop(*new)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = backend()
+        for pdf in batches:
+            texts = ["" if pd.isna(t) else t for t in pdf[column]]
+            words = [model.words(t) for t in texts]
+            yield pdf.assign(words=[[w[0] for w in ws] for ws in words], lemmas=[[w[1] for w in ws] for ws in words], n_sentences=[len(model.sentences(t)) for t in texts], n_unknown=[sum(not w[2] for w in ws) for ws in words])
+
+    return df.mapInPandas(run, kinds + ", words array<string>, lemmas array<string>, n_sentences int, n_unknown int")

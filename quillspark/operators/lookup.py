@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,24 @@ def spell_counts(df: DataFrame, vocabulary: DataFrame, id_cols: list[str], colum
     return out.withColumn("spell_has_errors", (F.col("spell_n_errors") > 0).cast("int"))
 
 
+def keyness_lemmas(df: DataFrame, lemmas: DataFrame, id_cols: list[str], column: str = "normalized_raw", stopwords: Sequence[str] = ()) -> DataFrame:
+    """id columns and tokens: the lemmas of a text's words in their order, for keyness.
+
+    ``lemmas`` has word and lemma; of several lemmas of a word, compared in lower case, the least
+    counts, and a word without one stands for itself. Stopwords go by the word; lemmas of fewer
+    than 3 characters, of fewer than 6 with a space, or without a letter go too. Rows must differ
+    in the id columns; a text without tokens, or null, has none. Frequent words are split by
+    adaptive execution where the dictionary isn't broadcast, being on the left side of the join.
+    """
+    table = lemmas.select(F.lower("word").alias("_w"), F.nullif(F.trim(F.lower("lemma")), F.lit("")).alias("_l")).groupBy("_w").agg(F.min("_l").alias("_l"))
+    words = df.select(*id_cols, F.posexplode_outer(F.transform(tx.tokens(F.col(column)), lambda t: F.lower(t))).alias("_at", "_w"))
+    found = words.join(table, "_w", "left").withColumn("_t", F.coalesce("_l", "_w"))
+    t = F.col("_t")
+    keep = ~F.col("_w").isin(*stopwords) & (F.char_length(t) >= 3) & ~((F.char_length(t) < 6) & t.contains(" ")) & tx.has_letter(t)
+    # structs of kept words only: collect_list leaves nulls out
+    return found.groupBy(*id_cols).agg(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("_at", "_t")))), lambda x: x["_t"]).alias("tokens"))
+
+
 def distinct_answers(df: DataFrame, columns: list[str]) -> DataFrame:
     """The distinct trimmed texts of several columns that are worth enriching: what a model is
     asked about, once each."""

@@ -7,6 +7,7 @@ least 0.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -68,11 +69,14 @@ def statistics(d: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 2 * xy / (n * m) - xx / (n * (n - 1)) - yy / (m * (m - 1)))
 
 
-def shuffles(n: int, size: int, reps: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    out = np.zeros((size, reps))
+def shuffles(rows: Sequence[str], n: int, reps: int, seed: int, analysis: str, parts: Sequence[object] = ()) -> np.ndarray:
+    """A 0/1 column for each repetition: the n rows that come first by the digest of seed, analysis,
+    parts, repetition and row, as ``resample.draw`` has it; equal rows in their order here."""
+    out = np.zeros((len(rows), reps))
     for r in range(reps):
-        out[rng.permutation(size)[:n], r] = 1.0
+        head = "|".join(str(p) for p in (seed, analysis, *parts, r) if p is not None)
+        digests = np.array([hashlib.md5(f"{head}|{row}".encode()).hexdigest() for row in rows])
+        out[np.argsort(digests, kind="stable")[:n], r] = 1.0
     return out
 
 
@@ -81,9 +85,10 @@ def permutation_test(df: DataFrame, keys: Sequence[str] = ("question",), side: s
 
     One task takes one comparison, of all keys and systems at once: distances are computed once
     and all permutations are one matrix product. A comparison of more than ``most`` vectors
-    raises an error instead of being sampled. Null below two vectors a side.
+    raises an error instead of being sampled. Null below two vectors a side. A row is drawn by
+    1 (baseline) or 0 and its id, under the comparison's keys and dataset.
     """
-    v = df.select(*keys, F.col(side).alias("dataset"), F.col(id_col).cast("long").alias("i"), F.col(vector).alias("e"))
+    v = df.select(*keys, F.col(side).alias("dataset"), F.col(id_col).cast("string").alias("i"), F.col(vector).alias("e"))
     systems = v.where(F.col("dataset") != baseline).select(*keys, "dataset").distinct()
     base = v.where(F.col("dataset") == baseline).drop("dataset").join(systems, list(keys)).withColumn("base", F.lit(1))
     rows = base.unionByName(v.where(F.col("dataset") != baseline).withColumn("base", F.lit(0)).select(base.columns))
@@ -101,7 +106,8 @@ def permutation_test(df: DataFrame, keys: Sequence[str] = ("question",), side: s
         if x >= 2 and len(z) - x >= 2:
             d = distances(z)
             value = float(statistics(d, sides)[0])
-            ge = int((statistics(d, shuffles(x, len(z), n, seed)) >= value - 1e-12).sum())
+            rows = [f"{b}|{i}" for b, i in zip(pdf["base"], pdf["i"])]
+            ge = int((statistics(d, shuffles(rows, x, n, seed, "permutation", list(pdf.iloc[0][head]))) >= value - 1e-12).sum())
             p = (ge + 1) / (n + 1)
         return pd.DataFrame([[*pdf.iloc[0][head], None if math.isnan(value) else value, None if math.isnan(p) else p]], columns=[*head, "value", "p"])
 
@@ -110,16 +116,17 @@ def permutation_test(df: DataFrame, keys: Sequence[str] = ("question",), side: s
 
 def split_half_energy(df: DataFrame, keys: Sequence[str] = ("question",), id_col: str = "id", vector: str = "embedding", n: int = 400, seed: int = SEED, most: int = MOST) -> DataFrame:
     """keys, rep, value: energy distance of random halves of one dataset, by the same product."""
-    v = df.select(*keys, F.col(id_col).cast("long").alias("i"), F.col(vector).alias("e"))
+    v = df.select(*keys, F.col(id_col).cast("string").alias("i"), F.col(vector).alias("e"))
     kinds = {f.name: f.dataType.simpleString() for f in v.schema}
 
     def halves(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most:
             raise ValueError(f"{len(pdf)} vectors in one set; at most {most}")
-        z = np.stack([np.asarray(e, np.float64) for e in pdf.sort_values("i")["e"]])
+        pdf = pdf.sort_values("i")
+        z = np.stack([np.asarray(e, np.float64) for e in pdf["e"]])
         if len(z) < 4:
             return pd.DataFrame(columns=[*keys, "rep", "value"])
-        values = statistics(distances(z), shuffles(len(z) // 2, len(z), n, seed))
+        values = statistics(distances(z), shuffles(list(pdf["i"]), len(z) // 2, n, seed, "split", list(pdf.iloc[0][list(keys)])))
         return pd.DataFrame({**{k: pdf.iloc[0][k] for k in keys}, "rep": np.arange(n, dtype=np.int32), "value": values})
 
     return v.groupBy(*keys).applyInPandas(halves, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", rep int, value double")

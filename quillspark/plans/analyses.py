@@ -3,15 +3,15 @@ system with the baseline, all questions and systems in one plan."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import finite, number, stars
 from ..operators import agg, keyness, lookup, reshape, resample, stats, vectors
-from ..schema import BASELINE, MIN_IDS
+from ..schema import BASELINE, KEPT_WORDS, MIN_IDS, SPLITS
 
 
 def _adjusted(df: DataFrame, family: Sequence[str] = ("question",)) -> DataFrame:
@@ -55,7 +55,8 @@ def entropy_delta(df: DataFrame, n: int = 500, seed: int = 42, exact: bool = Fal
     point = agg.normalized_entropy(df).select("question", "dataset", "entropy")
     base = point.where(F.col("dataset") == BASELINE).select("question", F.col("entropy").alias("human"))
     delta = point.where(F.col("dataset") != BASELINE).join(base, "question", "left").withColumn("value", F.col("entropy") - F.col("human"))
-    boot = resample.bootstrap_entropy(df, n=n, seed=seed).withColumnRenamed("entropy", "value")
+    # sums in another order differ in the last digits, which would break ties differently
+    boot = resample.bootstrap_entropy(df, n=n, seed=seed).withColumn("value", F.round("entropy", 9))
     tests = stats.mann_whitney(boot, exact=exact).select("question", "dataset", "p")
     out = delta.withColumnRenamed("entropy", "model").join(tests, ["question", "dataset"], "left")
     return _adjusted(out.withColumn("abs_value", F.abs("value")))
@@ -90,6 +91,12 @@ def index_table(df: DataFrame, id_cols: Sequence[str] = ("dataset", "respondent_
     return out.withColumn("skepticism_index_S", agg.row_mean([F.col(f"q{i}_score") for i in (17, 18, 19)]))
 
 
+def index_noise(index: DataFrame, n: int = SPLITS, seed: int = 42) -> DataFrame:
+    """question (S), rep, value: the baseline's split-half differences of the index."""
+    rows = index.where(F.col("dataset") == BASELINE).select(F.lit("S").alias("question"), "respondent_id", F.col("skepticism_index_S").alias("value"))
+    return resample.split_half_mean(rows, n=n, seed=seed)
+
+
 def build_long(df: DataFrame, cmap: reshape.ColumnMap, questions: dict[str, str], dataset: str, lexicon: DataFrame, vocabulary: DataFrame | None = None, is_open: bool = True) -> DataFrame:
     """A long table of open answers or word associations with all text features."""
     long = reshape.to_long(df, cmap.respondent_id, questions).where(tx.valid_answer(F.col("raw")))
@@ -111,7 +118,17 @@ def build_likert(df: DataFrame, cmap: reshape.ColumnMap, dataset: str) -> DataFr
     return out.withColumn("skepticism_index_S", agg.row_mean([F.col(f"{q}_score") for q in cmap.likert]))
 
 
-def build_keyness_tokens(long: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
+def default_stopwords(spark: SparkSession) -> list[str]:
+    """Italian stopwords as Spark ships them, less the words that the study keeps."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords("italian")} - set(KEPT_WORDS))
+
+
+def build_keyness_tokens(long: DataFrame, stopwords: Sequence[str] | None = None) -> DataFrame:
+    """tokens and n_tokens_keyness of each answer; without ``stopwords``, the default list."""
+    if stopwords is None:
+        stopwords = default_stopwords(long.sparkSession)
     out = long.select("dataset", "respondent_id", "question", tx.keyness_tokens(F.col("normalized_raw"), stopwords).alias("tokens"))
     return out.withColumn("n_tokens_keyness", F.size("tokens"))
 
@@ -131,3 +148,44 @@ def subgroup_suite(profile_table: DataFrame, df: DataFrame, analysis: Callable[[
             part = analysis(reshape.only(df, reshape.ids_in_bin(profile_table, column, value))).withColumn("subgroup", F.lit(column)).withColumn("bin", F.lit(value))
             out = part if out is None else out.unionByName(part)
     return out if out is not None else analysis(df.limit(0)).withColumn("subgroup", F.lit("")).withColumn("bin", F.lit(""))
+
+
+def in_subgroups(profile_table: DataFrame, df: DataFrame, groups: Sequence[tuple[str, str]] = SUBGROUPS, least: int = MIN_IDS) -> DataFrame:
+    """The rows of ``df`` once for each subgroup that their respondent is in, with ``question``
+    prefixed by subgroup and bin, so that one plan of an analysis takes all subgroups. Subgroups of
+    fewer than ``least`` of the baseline's respondents are left out."""
+    member = F.filter(F.array(*[F.when(F.col(c) == v, F.lit(f"{c}|{v}")) for c, v in groups]), lambda g: g.isNotNull())
+    ids = profile_table.where(F.col("dataset") == BASELINE).select("respondent_id", F.explode(member).alias("sub")).distinct()
+    # no more rows than there are groups
+    large = ids.groupBy("sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("sub")
+    return df.join(ids.join(F.broadcast(large), "sub"), "respondent_id").withColumn("question", F.concat_ws("|", "sub", "question")).drop("sub")
+
+
+def subgroup_analyses(profile_table: DataFrame, tables: Mapping[str, DataFrame], groups: Sequence[tuple[str, str]] = SUBGROUPS, least: int = MIN_IDS, exact: bool = True) -> dict[str, DataFrame]:
+    """Every analysis for every subgroup: name to its rows with ``subgroup``, ``bin`` and
+    ``question``. ``tables``: open, words, likert, embeddings, word_embeddings and keyness, each
+    with respondent_id; analyses of tables that miss are left out. An analysis of all subgroups
+    is one plan; families of tests are questions of a subgroup. Runs no action."""
+    t = {k: in_subgroups(profile_table, df, groups, least) for k, df in tables.items()}
+    out = {}
+    for name, table, analysis in (
+        ("embedding_fidelity", "embeddings", embedding_fidelity),
+        ("word_energy", "word_embeddings", word_energy),
+        ("open_sentiment", "open", lambda df: sentiment_shift(df, exact=exact)),
+        ("wordcount_box", "open", lambda df: agg.box_summary(open_wordcounts(df), value="word_count")),
+        ("wordassoc_sentiment", "words", lambda df: sentiment_shift(df, exact=exact)),
+        ("unique_answers", "words", unique_answers),
+        ("entropy_delta", "words", entropy_delta),
+        ("keyness", "keyness", lambda df: keyness.log_odds(keyness.token_counts(df))),
+        ("likert_props", "likert", lambda df: likert_tables(df)[0]),
+        ("likert_chi2", "likert", lambda df: likert_tables(df)[1]),
+    ):
+        if table in t:
+            out[name] = analysis(t[table])
+    if "likert" in t:
+        part = F.substring_index("question", "|", 2).alias("sub")
+        items = t["likert"].select("dataset", "respondent_id", part, F.substring_index("question", "|", -1).alias("question"), "score")
+        index = index_table(items, ("sub", "dataset", "respondent_id")).select(F.concat("sub", F.lit("|S")).alias("question"), "dataset", F.col("skepticism_index_S").alias("value"))
+        out["skepticism"] = sentiment_shift(index, "value", exact)
+    at = F.split("question", r"\|", 3)
+    return {k: df.withColumn("subgroup", at[0]).withColumn("bin", at[1]).withColumn("question", at[2]) for k, df in out.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.numeric import erfc_sql, rounded, stars
 from ..operators import agg, enrich, keyness, lookup, reshape, resample, stats, vectors
-from ..schema import BASELINE, BOOTSTRAPS, LIKERT_TEXTS, SPLITS, SYSTEMS
+from ..schema import BASELINE, BOOTSTRAPS, EXPERIENCE_BINS, GRADE_BINS, LIKERT_TEXTS, MIN_IDS, PERMUTATIONS, ROLE_BINS, SPLITS, SYSTEMS
 from . import analyses, export
 from . import surrogates as s
 
@@ -146,8 +146,12 @@ def likert_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "orders").select("o_orderkey", tx.likert_score(answer).alias("score"))
 
 
+def _bin(column: str, table: dict[str, str]) -> str:
+    return f'CASE trim("{column}") ' + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
 @query(
-    f"WITH {s.PROFILE_SQL} SELECT respondent_id, CASE trim(\"Ruolo\") WHEN 'Insegnante di sostegno' THEN 'Sostegno' WHEN 'Insegnante curricolare' THEN 'Curricolare' END AS ruolo_2, CAST(NULL AS VARCHAR) AS grado_2, CAST(NULL AS VARCHAR) AS esperienza_2, "
+    f"WITH {s.PROFILE_SQL} SELECT respondent_id, CASE trim(\"Ruolo\") WHEN 'Insegnante di sostegno' THEN 'Sostegno' WHEN 'Insegnante curricolare' THEN 'Curricolare' END AS ruolo_2, {_bin('Grado', GRADE_BINS)} AS grado_2, {_bin('Anni esp', EXPERIENCE_BINS)} AS esperienza_2, "
     "CASE WHEN CAST(years AS DOUBLE) < -0.5 THEN 'nan' WHEN CAST(years AS DOUBLE) <= 4.5 THEN '0-4' WHEN CAST(years AS DOUBLE) <= 14.5 THEN '5-14' ELSE '15+' END AS exp_bin, lower(trim(segment)) AS ruolo_bin FROM profile_s"
 )
 def subgroup_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,15 +346,8 @@ def bootstrap_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT question, dataset, round(human, 6) + 0e0 AS human, round(model, 6) + 0e0 AS model, round(value, 6) + 0e0 AS value, round(abs(value), 6) + 0e0 AS abs_value, round(p, 9) + 0e0 AS p, round(p_adj, 9) + 0e0 AS p_adj FROM adj"
 )
 def entropy_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = s.words(spark, sf_dir)
-    point = agg.normalized_entropy(words).select("question", "dataset", "entropy")
-    base = point.where(F.col("dataset") == BASELINE).select("question", F.col("entropy").alias("human"))
-    # sums in another order differ in the last digits, which would break ties differently
-    boot = resample.bootstrap_entropy(words).withColumn("value", F.round("entropy", 9))
-    tests = stats.mann_whitney(boot, exact=False).select("question", "dataset", "p")
-    delta = point.where(F.col("dataset") != BASELINE).join(base, "question", "left").join(tests, ["question", "dataset"], "left").withColumn("value", F.col("entropy") - F.col("human"))
-    out = stats.bh_adjust(delta, ("question",), ties=("dataset",))
-    return out.select("question", "dataset", r6("human"), r6("model", F.col("entropy")), r6("value"), r6("abs_value", F.abs("value")), rounded(F.col("p"), 9).alias("p"), rounded(F.col("p_adj"), 9).alias("p_adj"))
+    out = analyses.entropy_delta(s.words(spark, sf_dir))
+    return out.select("question", "dataset", r6("human"), r6("model"), r6("value"), r6("abs_value"), rounded(F.col("p"), 9).alias("p"), rounded(F.col("p_adj"), 9).alias("p_adj"))
 
 
 # ---- keyness
@@ -400,23 +397,78 @@ def energy_distance_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.permutation_test(s.embeddings(spark, sf_dir), n=1).select("question", "dataset", r6("value"))
 
 
-@query()
+def _resampled(units: str, drawn_by: str, reps: int, first: str, observed: bool) -> str:
+    """CTE st (question, dataset, rep, value): energy distances where the ``first`` rows of each
+    shuffle of u (question, dataset, label, base, e) are one side, and, as repetition -1, base rows."""
+    return (
+        f"u AS ({units}), reps AS (SELECT unnest(range({reps})) AS rep), "
+        "pr AS (SELECT a.question, a.dataset, a.label AS i, b.label AS j, sqrt(greatest(2e0 - 2e0 * list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])), 0e0)) AS d FROM u a JOIN u b ON a.question = b.question AND a.dataset = b.dataset AND a.label < b.label), "
+        f"sz AS (SELECT question, dataset, CAST({first} AS BIGINT) AS n1, count(*) AS n FROM u GROUP BY ALL), "
+        "tot AS (SELECT question, dataset, sum(d) AS t FROM pr GROUP BY ALL), "
+        "ro AS (SELECT question, dataset, label, sum(d) AS s FROM (SELECT question, dataset, i AS label, d FROM pr UNION ALL SELECT question, dataset, j, d FROM pr) GROUP BY ALL), "
+        f"o AS (SELECT question, dataset, rep, label, row_number() OVER (PARTITION BY question, dataset, rep ORDER BY md5('42|{drawn_by} || '|' || rep || '|' || label), label) AS r FROM u CROSS JOIN reps), "
+        "sx AS (SELECT question, dataset, rep, label FROM o JOIN sz USING (question, dataset) WHERE r <= n1" + (" UNION ALL SELECT question, dataset, -1, label FROM u WHERE base = 1" if observed else "") + "), "
+        "xx AS (SELECT a.question, a.dataset, a.rep, sum(d) AS xx FROM sx a JOIN pr ON pr.question = a.question AND pr.dataset = a.dataset AND pr.i = a.label JOIN sx b ON b.question = a.question AND b.dataset = a.dataset AND b.rep = a.rep AND b.label = pr.j GROUP BY ALL), "
+        "xs AS (SELECT question, dataset, rep, sum(s) AS xs FROM sx JOIN ro USING (question, dataset, label) GROUP BY ALL), "
+        "st AS (SELECT question, dataset, rep, greatest(2e0 * (xs - 2e0 * xx) / (n1 * (n - n1)) - 2e0 * xx / (n1 * (n1 - 1)) - 2e0 * (t - xs + xx) / ((n - n1) * (n - n1 - 1)), 0e0) AS value "
+        "FROM xs JOIN xx USING (question, dataset, rep) JOIN sz USING (question, dataset) JOIN tot USING (question, dataset) WHERE n1 >= 2 AND n - n1 >= 2)"
+    )
+
+
+def _permutation_sql(source: str) -> str:
+    units = (
+        "SELECT m.question, m.dataset, '1|' || h.id AS label, 1 AS base, h.embedding AS e FROM (SELECT DISTINCT question, dataset FROM emb_s WHERE dataset <> 'human') m JOIN emb_s h ON h.question = m.question AND h.dataset = 'human' "
+        "UNION ALL SELECT question, dataset, '0|' || id, 0, embedding FROM emb_s WHERE dataset <> 'human'"
+    )
+    return (
+        f"WITH {source}, " + _resampled(units, "permutation|' || question || '|' || dataset", PERMUTATIONS, "sum(base)", True)
+        + f", ob AS (SELECT question, dataset, value FROM st WHERE rep = -1), ge AS (SELECT question, dataset, any_value(ob.value) AS value, (count(*) FILTER (st.rep >= 0 AND st.value >= ob.value - 1e-12) + 1) / {PERMUTATIONS + 1}e0 AS p FROM st JOIN ob USING (question, dataset) GROUP BY ALL), "
+        + "pt AS (SELECT question, dataset, value, p FROM (SELECT DISTINCT question, dataset FROM emb_s WHERE dataset <> 'human') LEFT JOIN ge USING (question, dataset)), " + _BH.format(family="question", tie="dataset", source="pt")
+        + f" SELECT question, dataset, round(value, 6) + 0e0 AS value, round(p, 9) + 0e0 AS p, round(p_adj, 9) + 0e0 AS p_adj, {_STARS.format('p_adj')} FROM adj"
+    )
+
+
+def _permutation(df: DataFrame) -> DataFrame:
+    return df.select("question", "dataset", r6("value"), rounded(F.col("p"), 9).alias("p"), rounded(F.col("p_adj"), 9).alias("p_adj"), "stars")
+
+
+@query(_permutation_sql(s.EMBEDDINGS_SQL))
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.embedding_fidelity(s.embeddings(spark, sf_dir))
+    return _permutation(analyses.embedding_fidelity(s.embeddings(spark, sf_dir)))
 
 
-@query()
-def embedding_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.noise_band(analyses.embedding_noise(s.embeddings(spark, sf_dir)))
+@query(_permutation_sql(s.WORD_EMBEDDINGS_SQL))
+def word_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _permutation(analyses.word_energy(s.word_embeddings(spark, sf_dir)))
 
 
-_SPLIT = (
-    f"WITH {s.OPEN_SQL}, v AS (SELECT question, respondent_id, sentiment_score AS v FROM open_s WHERE dataset = 'human'), reps AS (SELECT unnest(range({SPLITS})) AS rep), "
-    "o AS (SELECT question, rep, respondent_id, row_number() OVER (PARTITION BY question, rep ORDER BY md5('42|split|' || question || '|' || rep || '|' || respondent_id), respondent_id) AS r, count(*) OVER (PARTITION BY question, rep) AS n FROM (SELECT DISTINCT question, respondent_id FROM v) CROSS JOIN reps), "
-    "f AS (SELECT o.question, o.rep, avg(v.v) FILTER (r <= n // 2) - avg(v.v) FILTER (r > n // 2) AS value FROM o JOIN v ON v.question = o.question AND v.respondent_id = o.respondent_id GROUP BY ALL)"
+_BAND = (
+    " SELECT question, count(value) AS n, round(min(value), 6) + 0e0 AS low, round(avg(value), 6) + 0e0 AS mean, round(max(value), 6) + 0e0 AS high, round(stddev_pop(value), 6) + 0e0 AS sd, round(quantile_cont(value, 0.25), 6) + 0e0 AS q25, round(quantile_cont(value, 0.5), 6) + 0e0 AS median, "
+    "round(quantile_cont(value, 0.75), 6) + 0e0 AS q75, round(quantile_cont(value, 0.95), 6) + 0e0 AS q95, round(quantile_cont(abs(value), 0.95), 6) + 0e0 AS abs_q95 FROM {0} GROUP BY question"
 )
 
 
+def _band(df: DataFrame) -> DataFrame:
+    out = agg.noise_band(df)
+    return out.select(*[c if c in ("question", "n") else r6(c) for c in out.columns])
+
+
+@query(f"WITH {s.EMBEDDINGS_SQL}, " + _resampled("SELECT question, dataset, CAST(id AS VARCHAR) AS label, 1 AS base, embedding AS e FROM emb_s WHERE dataset = 'human'", "split|' || question", SPLITS, "count(*) // 2", False) + _BAND.format("st"))
+def embedding_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _band(analyses.embedding_noise(s.embeddings(spark, sf_dir)))
+
+
+def _split_sql(source: str) -> str:
+    return (
+        f"WITH {source}, reps AS (SELECT unnest(range({SPLITS})) AS rep), "
+        "o AS (SELECT question, rep, respondent_id, row_number() OVER (PARTITION BY question, rep ORDER BY md5('42|split|' || question || '|' || rep || '|' || respondent_id), respondent_id) AS r, count(*) OVER (PARTITION BY question, rep) AS n FROM (SELECT DISTINCT question, respondent_id FROM v) CROSS JOIN reps), "
+        "f AS (SELECT o.question, o.rep, avg(v.v) FILTER (r <= n // 2) - avg(v.v) FILTER (r > n // 2) AS value FROM o JOIN v ON v.question = o.question AND v.respondent_id = o.respondent_id GROUP BY ALL)"
+    )
+
+
+_SPLIT = _split_sql(f"{s.OPEN_SQL}, v AS (SELECT question, respondent_id, sentiment_score AS v FROM open_s WHERE dataset = 'human')")
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = s.open_answers(spark, sf_dir).where(F.col("dataset") == BASELINE).withColumn("value", F.col("sentiment_score"))
     return resample.split_half_mean(people)
@@ -427,13 +479,14 @@ def split_half_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).withColumn("value", r6("value"))
 
 
-@query(
-    _SPLIT + " SELECT question, count(value) AS n, round(min(value), 6) + 0e0 AS low, round(avg(value), 6) + 0e0 AS mean, round(max(value), 6) + 0e0 AS high, round(stddev_pop(value), 6) + 0e0 AS sd, round(quantile_cont(value, 0.25), 6) + 0e0 AS q25, round(quantile_cont(value, 0.5), 6) + 0e0 AS median, "
-    "round(quantile_cont(value, 0.75), 6) + 0e0 AS q75, round(quantile_cont(value, 0.95), 6) + 0e0 AS q95, round(quantile_cont(abs(value), 0.95), 6) + 0e0 AS abs_q95 FROM f GROUP BY question"
-)
+@query(_SPLIT + _BAND.format("f"))
 def noise_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = agg.noise_band(_split(spark, sf_dir))
-    return out.select(*[c if c in ("question", "n") else r6(c) for c in out.columns])
+    return _band(_split(spark, sf_dir))
+
+
+@query(_split_sql(_INDEX.removeprefix("WITH ") + ", v AS (SELECT 'S' AS question, respondent_id, v FROM x WHERE dataset = 'human')") + _BAND.format("f"))
+def index_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _band(analyses.index_noise(analyses.index_table(s.likert(spark, sf_dir))))
 
 
 @query(
@@ -521,11 +574,13 @@ def enrichment_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("o_orderkey", tx.valid_enrichment(label, emotions).alias("valid"), F.array_join(tx.known_emotions(emotions), ",").alias("emotions"), F.array_join(tx.unknown_emotions(emotions), ",").alias("unknown"))
 
 
-@query(
-    f"WITH {s.PROFILE_SQL}, {s.LIKERT_SQL}, g AS (SELECT * FROM (VALUES ('Sostegno', 'Insegnante di sostegno'), ('Curricolare', 'Insegnante curricolare')) v(bin, role)), "
-    "i AS (SELECT DISTINCT bin, respondent_id FROM profile_s JOIN g ON trim(\"Ruolo\") = role WHERE dataset = 'human') "
-    "SELECT 'ruolo_2' AS subgroup, bin, question, dataset, count(*) AS n, round(avg(score), 6) + 0e0 AS mean FROM likert_s JOIN i USING (respondent_id) GROUP BY ALL"
+_MEMBERS = (
+    f"{s.PROFILE_SQL}, m0 AS (SELECT respondent_id, unnest(['esperienza_2|' || {_bin('Anni esp', EXPERIENCE_BINS)}, 'ruolo_2|' || {_bin('Ruolo', ROLE_BINS)}, 'grado_2|' || {_bin('Grado', GRADE_BINS)}]) AS sub FROM profile_s WHERE dataset = 'human'), "
+    f"members AS (SELECT DISTINCT respondent_id, sub FROM m0 WHERE sub IN (SELECT sub FROM m0 WHERE sub IS NOT NULL GROUP BY sub HAVING count(DISTINCT respondent_id) >= {MIN_IDS}))"
 )
+
+
+@query(f"WITH {_MEMBERS}, {s.LIKERT_SQL} SELECT split_part(sub, '|', 1) AS subgroup, split_part(sub, '|', 2) AS bin, question, dataset, count(*) AS n, round(avg(score), 6) + 0e0 AS mean FROM likert_s JOIN members USING (respondent_id) GROUP BY ALL")
 def subgroup_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = lambda df: df.groupBy("question", "dataset").agg(F.count(F.lit(1)).alias("n"), r6("mean", F.avg("score")))
     return analyses.subgroup_suite(reshape.with_subgroups(s.profile_table(spark, sf_dir)), s.likert(spark, sf_dir), means)
@@ -535,3 +590,66 @@ def subgroup_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def likert_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = export.stacked_likert(agg.proportions(s.likert(spark, sf_dir)), SYSTEMS)
     return out.select("question", "dataset", "option", r6("prop"), r6("start"))
+
+
+def _in_subgroups(name: str, source: str, table: str, key: str = "respondent_id") -> str:
+    """A query's SQL over its table once for each subgroup, the subgroup put before the question."""
+    rows = source.replace(f"{table} AS (", f"{table}0 AS (", 1)
+    return ORACLE_SQL[name].replace(source, f"{_MEMBERS}, {rows}, {table} AS (SELECT o.* REPLACE (members.sub || '|' || o.question AS question) FROM {table}0 o JOIN members ON members.respondent_id = o.{key})", 1)
+
+
+#: Analysis, its item, value and adjusted p, and its SQL.
+_SUITE = (
+    ("embedding_fidelity", "dataset", "value", "p_adj", _in_subgroups("permutation_test", s.EMBEDDINGS_SQL, "emb_s", "id")),
+    ("word_energy", "dataset", "value", "p_adj", _in_subgroups("word_energy", s.WORD_EMBEDDINGS_SQL, "emb_s", "id")),
+    ("open_sentiment", "dataset", "shift", "p_adj", _in_subgroups("open_sentiment", s.OPEN_SQL, "open_s")),
+    ("wordcount_box", "dataset", "median", "NULL", _in_subgroups("wordcount_box", s.OPEN_SQL, "open_s")),
+    ("wordassoc_sentiment", "dataset", "shift", "p_adj", _in_subgroups("wordassoc_sentiment_shift", s.WORDS_SQL, "word_s")),
+    ("unique_answers", "dataset", "unique_pct", "NULL", _in_subgroups("unique_answer_pct", s.WORDS_SQL, "word_s")),
+    ("entropy_delta", "dataset", "value", "p_adj", _in_subgroups("entropy_delta", s.WORDS_SQL, "word_s")),
+    ("keyness", "token", "z", "p_adj", _in_subgroups("keyness_log_odds", s.KEYNESS_SQL, "key_s")),
+    ("likert_props", "concat(dataset, ' ', CAST(option AS STRING))", "prop", "NULL", _in_subgroups("likert_props", s.LIKERT_SQL, "likert_s")),
+    ("likert_chi2", "dataset", "statistic", "p_adj", _in_subgroups("likert_chi2", s.LIKERT_SQL, "likert_s")),
+    (
+        "skepticism", "dataset", "shift", "p_adj",
+        _shift_sql(
+            f"{_MEMBERS}, {s.LIKERT_SQL}, i AS (SELECT sub, dataset, respondent_id, max(score) FILTER (question = 'q17') AS a, max(score) FILTER (question = 'q18') AS b, max(score) FILTER (question = 'q19') AS c FROM likert_s JOIN members USING (respondent_id) GROUP BY ALL), "
+            "src AS (SELECT sub || '|S' AS question, dataset, list_avg(list_filter([a, b, c], lambda v: v IS NOT NULL)) AS v FROM i)"
+        ),
+    ),
+)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS analysis, split_part(question, '|', 1) AS subgroup, split_part(question, '|', 2) AS bin, split_part(question, '|', 3) AS question, {item} AS item, round(CAST({value} AS DOUBLE), 6) + 0e0 AS value, CAST({p} AS DOUBLE) AS p_adj FROM ({sql})"
+        for name, item, value, p, sql in _SUITE
+    )
+)
+def subgroup_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_id = lambda df: df.withColumn("respondent_id", F.col("id"))
+    tables = {
+        "open": s.open_answers(spark, sf_dir).where("dataset IS NOT NULL"),
+        "words": s.words(spark, sf_dir),
+        "likert": s.likert(spark, sf_dir),
+        "embeddings": by_id(s.embeddings(spark, sf_dir)),
+        "word_embeddings": by_id(s.word_embeddings(spark, sf_dir)),
+        "keyness": s.keyness(spark, sf_dir),
+    }
+    found = analyses.subgroup_analyses(reshape.with_subgroups(s.profile_table(spark, sf_dir)), tables, exact=False)
+    out = None
+    for name, item, value, p, _ in _SUITE:
+        part = found[name].select(F.lit(name).alias("analysis"), "subgroup", "bin", "question", F.expr(item).alias("item"), r6("value", F.col(value)), rounded(F.expr(f"CAST({p} AS DOUBLE)"), 9).alias("p_adj"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    f"WITH l AS (SELECT lower(split_part(p_name, ' ', 1)) AS w, min(nullif(trim(lower(p_type)), '')) AS l FROM part GROUP BY 1), t AS (SELECT p_partkey, unnest(x) AS w, generate_subscripts(x, 1) AS pos FROM (SELECT p_partkey, regexp_extract_all(lower(p_name), '{TOKEN.replace(chr(39), chr(39) * 2)}') AS x FROM part)), "
+    f"k AS (SELECT p_partkey, pos, w, coalesce(l, w) AS lemma FROM t LEFT JOIN l USING (w)) SELECT p_partkey, coalesce(string_agg(lemma, ';' ORDER BY pos) FILTER (w NOT IN ('blue', 'part') AND length(lemma) >= 3 AND NOT (length(lemma) < 6 AND contains(lemma, ' ')) AND regexp_matches(lemma, '{LETTERS}')), '') AS lemmas FROM k GROUP BY p_partkey"
+)
+def keyness_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = s.table(spark, sf_dir, "part")
+    lemmas = part.select(F.substring_index("p_name", " ", 1).alias("word"), F.col("p_type").alias("lemma"))
+    out = lookup.keyness_lemmas(part, lemmas, ["p_partkey"], "p_name", ("blue", "part"))
+    return out.select("p_partkey", F.array_join("tokens", ";").alias("lemmas"))

@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..schema import BASELINE
+from ..schema import BASELINE, EXPERIENCE_BINS, GRADE_BINS
 
 #: Datasets that rows are dealt to by number.
 DEALT = ("human", "gpt", "gemma", "gpt-oss", "llama", "qwen")
 
 
+#: Profile fields that customers are dealt, the last of each not to be recoded.
+YEARS = (*EXPERIENCE_BINS, "nan")
+GRADES = (*GRADE_BINS, " none ")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,17 +108,27 @@ EMBEDDINGS_SQL = """emb_s AS (
   FROM embeddings WHERE label < 6)"""
 
 
+def word_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset, question (q3 to q9), id, embedding: the same vectors as of word associations."""
+    question = F.concat(F.lit("q"), (F.lit(3) + F.col("id") % 7).cast("string"))
+    return embeddings(spark, sf_dir).withColumn("question", question)
+
+
+WORD_EMBEDDINGS_SQL = EMBEDDINGS_SQL.replace("CASE WHEN vec_id % 2 = 0 THEN 'q1' ELSE 'q2' END", "'q' || CAST(3 + vec_id % 7 AS VARCHAR)")
+
+
 def keyness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dataset, question, tokens (with repeats)."""
+    """dataset, respondent_id, question, tokens (with repeats)."""
     return table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).select(
         F.when(F.col("role") == "user", BASELINE).otherwise("system").alias("dataset"),
+        F.col("conv_id").alias("respondent_id"),
         F.when(F.col("turn") % 2 == 0, "q1").otherwise("q2").alias("question"),
         F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)), lambda t: F.char_length(t) >= 3).alias("tokens"),
     )
 
 
 KEYNESS_SQL = r"""key_s AS (
-  SELECT CASE role WHEN 'user' THEN 'human' ELSE 'system' END AS dataset, CASE WHEN turn % 2 = 0 THEN 'q1' ELSE 'q2' END AS question,
+  SELECT CASE role WHEN 'user' THEN 'human' ELSE 'system' END AS dataset, conv_id AS respondent_id, CASE WHEN turn % 2 = 0 THEN 'q1' ELSE 'q2' END AS question,
          list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda t: length(t) >= 3) AS tokens
   FROM conversations WHERE role IN ('user', 'assistant'))"""
 
@@ -149,11 +164,14 @@ def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         roles.alias("Ruolo"),
         (F.col("c_nationkey") - 1).cast("string").alias("years"),
         F.col("c_mktsegment").alias("segment"),
+        F.element_at(F.array(*[F.lit(x) for x in YEARS]), (F.col("c_nationkey") % len(YEARS) + 1).cast("int")).alias("Anni esp"),
+        F.element_at(F.array(*[F.lit(x) for x in GRADES]), (F.col("c_custkey") % len(GRADES) + 1).cast("int")).alias("Grado"),
     )
 
 
-PROFILE_SQL = """profile_s AS (
+PROFILE_SQL = f"""profile_s AS (
   SELECT CASE WHEN c_custkey % 2 = 0 THEN 'human' ELSE 'llama' END AS dataset, c_custkey AS respondent_id,
          CASE c_mktsegment WHEN 'BUILDING' THEN ' Insegnante di sostegno' WHEN 'MACHINERY' THEN 'Insegnante curricolare' WHEN 'FURNITURE' THEN 'none' ELSE c_mktsegment END AS "Ruolo",
-         CAST(c_nationkey - 1 AS VARCHAR) AS years, c_mktsegment AS segment
+         CAST(c_nationkey - 1 AS VARCHAR) AS years, c_mktsegment AS segment,
+         {list(YEARS)}[c_nationkey % {len(YEARS)} + 1] AS "Anni esp", {list(GRADES)}[c_custkey % {len(GRADES)} + 1] AS "Grado"
   FROM customer)"""

@@ -32,6 +32,15 @@ SENTIMENT = {"positivo": 1, "neutro": 0, "negativo": -1}
 EMOTIONS = ("gioia", "fiducia", "paura", "sorpresa", "tristezza", "disgusto", "rabbia", "anticipazione")
 LIKERT_TEXTS = {"a": "per niente d'accordo", "b": "abbastanza in disaccordo", "c": "un po' d'accordo", "d": "completamente d'accordo"}
 
+#: Words that count although lists of stopwords have them.
+KEPT_WORDS = (
+    "futuro", "generale", "nessuno", "nuovo", "gruppo", "lavoro", "tutti", "tutto", "insieme", "nulla", "nessuna", "talvolta",
+    "volte", "troppo", "lungo", "mancanza", "abbastanza", "vario", "varia", "altro", "dentro", "persone", "sempre", "minimi",
+    "forza", "male", "lontano", "relativo", "magari", "poco", "niente", "più", "meno", "mai", "pochissimo", "vita", "spesso",
+    "tempo", "contro", "grande", "brava", "pieno", "molto", "dovunque", "parecchio", "esempio", "grazie", "comunque",
+    "finalmente", "bene",
+)
+
 #: Recodes of profile fields; what isn't listed becomes null.
 SHORT, LONG = "Breve Esperienza", "Lunga Esperienza"
 EXPERIENCE_BINS = {"Nessuna esperienza": SHORT, "Meno di 5 anni": SHORT, "Da 5 a 10 anni": SHORT, "Da 10 a 20 anni": LONG, "Più di 20 anni": LONG}

@@ -112,9 +112,11 @@ def read_features(spark: SparkSession, path: str, datasets: Sequence[str] | None
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame], recompute: bool = False) -> DataFrame:
-    """The table at ``path``, built and written first if it isn't complete there."""
+    """The table at ``path``, built and written first if it isn't complete there: a table is complete
+    once its ``_SUCCESS`` file is there, which Spark writes last."""
     if not recompute:
         try:
+            spark.read.text(f"{path}/_SUCCESS")
             return spark.read.parquet(path)
         except AnalysisException:
             pass

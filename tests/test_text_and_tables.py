@@ -141,3 +141,51 @@ def test_stream_counts(spark, tmp_path):
         incremental.count_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
     r = incremental.unique_so_far(spark, str(tmp_path / "out")).first()
     assert (r.total_n, r.unique_n) == (6, 2) and 0.9 < incremental.entropy_so_far(spark, str(tmp_path / "out")).first().entropy < 1
+
+
+def test_default_stopwords_leave_the_words_that_count(spark):
+    from quillspark.schema import KEPT_WORDS
+
+    words = analyses.default_stopwords(spark)
+    assert len(KEPT_WORDS) == len(set(KEPT_WORDS)) == 50 and not set(words) & set(KEPT_WORDS) and {"il", "della", "che"} <= set(words)
+    long = spark.createDataFrame([("d", "1", "q1", "Il futuro della scuola")], "dataset string, respondent_id string, question string, normalized_raw string")
+    assert analyses.build_keyness_tokens(long).first().tokens == ["futuro", "scuola"]
+
+
+def test_lemmas_for_keyness(spark):
+    texts = spark.createDataFrame([(1, "Le scuole sono belle, belle"), (2, None), (3, "1234 di a"), (4, "c'era")], "id int, normalized_raw string")
+    lemmas = spark.createDataFrame([("Scuole", "Scuola "), ("belle", "bello"), ("belle", "bella"), ("sono", "io x"), ("di", ""), ("le", None)], "word string, lemma string")
+    got = {r.id: r.tokens for r in lookup.keyness_lemmas(texts, lemmas, ["id"], stopwords=("c'era",)).collect()}
+    assert got == {1: ["scuola", "bella", "bella"], 2: [], 3: [], 4: []}
+    assert lookup.keyness_lemmas(texts.limit(0), lemmas, ["id"]).count() == 0
+
+
+def test_language_pipeline_behind_an_interface(spark):
+    rows = [("Uno. Due! L'anno è bello?! Fine", 4, ["Uno", "Due", "L'anno", "è", "bello", "Fine"]), ("", 0, []), (None, 0, []), ("senza punto", 1, ["senza", "punto"])]
+    df = spark.createDataFrame([(t, 1) for t, _, _ in rows], "normalized_raw string, words int").repartition(1)
+    got = {r.normalized_raw: r for r in enrich.annotated(df).withColumn("n", tx.n_tokens(F.col("normalized_raw"))).collect()}
+    for text, sentences, words in rows:
+        r = got[text]
+        assert (r.n_sentences, r.words, r.n, r.n_unknown) == (sentences, words, len(words), 0)
+    one = enrich.annotated(df, lambda: enrich.RegexBackend({"Bello": "bella"}, ["uno", "due"])).where("normalized_raw LIKE 'Uno%'").first()
+    assert one.lemmas == ["uno", "due", "l'anno", "è", "bella", "fine"] and one.n_unknown == 4
+
+
+def test_a_table_without_its_mark_of_success_is_built_again(spark, tmp_path):
+    path = tmp_path / "m"
+    tables.materialize(spark, str(path), lambda: spark.range(2))
+    assert tables.materialize(spark, str(path), lambda: spark.range(3)).count() == 2
+    (path / "_SUCCESS").unlink()
+    assert tables.materialize(spark, str(path), lambda: spark.range(3)).count() == 3
+
+
+def test_subgroups_in_one_plan_are_the_subgroups_one_by_one(spark):
+    people = spark.createDataFrame([("human", i, ("Sostegno", "Curricolare", None)[i % 3], "Lunga Esperienza" if i < 5 else None) for i in range(40)] + [("llama", 99, "Sostegno", None)], "dataset string, respondent_id long, ruolo_2 string, esperienza_2 string").withColumn("grado_2", F.lit(None).cast("string"))
+    scores = spark.createDataFrame([(d, i, q, (i * 7 + len(d)) % 4 + 1) for d in ("human", "llama") for i in range(40) for q in ("q17", "q18")] + [("llama", None, "q17", 1)], "dataset string, respondent_id long, question string, score int")
+    found = analyses.subgroup_analyses(people, {"likert": scores})
+    assert set(found) == {"likert_props", "likert_chi2", "skepticism"}
+    got = {tuple(r) for r in found["likert_props"].select("subgroup", "bin", "question", "dataset", "option", "n").collect()}
+    from quillspark.operators import agg
+
+    props = analyses.subgroup_suite(people, scores, agg.proportions)
+    assert got == {tuple(r) for r in props.select("subgroup", "bin", "question", "dataset", "option", "n").collect()} and {g[1] for g in got} == {"Sostegno", "Curricolare"}

@@ -46,7 +46,7 @@ def test_energy_distance_in_both_forms(spark):
 def test_label_algebra_equals_the_loop():
     rng = np.random.default_rng(3)
     z = unit(rng, 11).astype(float)
-    s = vectors.shuffles(4, 11, 20, 1)
+    s = vectors.shuffles([f"1|{i}" for i in range(11)], 4, 20, 1, "permutation", ["q1", "far"])
     got = vectors.statistics(vectors.distances(z), s)
     assert all(s.sum(axis=0) == 4)
     for k in range(20):
