@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .decontam import shingle_hashes, word_hashes
+from .skew import split_join
 from .store import cut, dropped, unused, written
 
 SEED = 42
@@ -197,15 +198,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     the smallest doc_id reachable. Texts that are null, empty or without a word have fingerprint
     zero and are linked like any other. Rows with a null doc_id are linked too, but name no
     component; repeated rows stay. Further columns are ignored. Empty table: no rows. Runs actions.
+    Fingerprints of many rows and components of many fingerprints are joined where their rows are.
     """
     fps = cut(fingerprints(docs, words), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     tree = components(links(nodes.withColumn("s", F.lit(0)), distance).select("u", "v"))
-    member = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    member = cut(member, "members")
-    names = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(names, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    member = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    member, at = written(member, "members")
+    names, names_at = written(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")), "components")
+    named = cut(split_join(member, names, ["root"], "size", member.count()).select("fp", "n", "component_id"), "named")
+    dropped(docs.sparkSession, at, names_at)
+    return split_join(fps, named, ["fp"], "n", fps.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: For texts that are similar without being nearly equal: words of a shingle, similarity, hashes of

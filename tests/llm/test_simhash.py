@@ -86,3 +86,11 @@ def test_near_duplicates_edge_cases(spark):
     assert by[3].component_id == by[4].component_id == by[5].component_id == 3 and by[3].fingerprint == "0" * 16
     assert by[6].component_id == 6
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_fingerprint_of_very_many_rows(spark):
+    rows = [(i, "" if i % 2 else None) for i in range(1500)] + [(2000 + i, f"word{i} and some more words of {i * 7}") for i in range(40)] + [(1999, "word3 and some more words of 21")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components([(d, brute_fingerprint(t)) for d, t in rows[1499:]])
+    assert len(got) == len(rows) and {got[i].component_id for i in range(1500)} == {0}
+    assert {d: got[d].component_id for d in want if d >= 1999} == {d: c for d, c in want.items() if d >= 1999}
