@@ -13,37 +13,62 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BASELINE, PERMUTATIONS, SEED
 
-#: Vectors of one comparison that a task may hold; larger ones go to the relational form.
+#: Vectors of one comparison that a task of the permutation test may hold.
 MOST = 6000
+#: Vectors of a block; a task of the energy distance holds two.
+BLOCK = 2048
 
 
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda a, t: a + t)
+def pair_means(v: DataFrame, keys: Sequence[str], baseline: str = BASELINE, block: int = BLOCK) -> DataFrame:
+    """keys, x, y, d: mean distances within each dataset (x = y, null below two vectors) and from the
+    baseline (x) to the others, of a table (keys, dataset, i, e).
 
+    Vectors are dealt by hash into blocks of about ``block``; a task takes a pair of blocks, by one
+    matrix product, and gives a sum and a count. So a vector is sent as often as there are blocks to
+    meet, no pair of vectors is ever a row, and a task holds two blocks however large a question is.
+    """
+    sizes = v.groupBy(*keys, "dataset").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    # a row for each question and dataset: adaptive execution broadcasts it where it is small
+    placed = v.join(sizes, [*keys, "dataset"]).select(*keys, "dataset", F.pmod(F.xxhash64("i", "e"), F.col("blocks").cast("long")).cast("int").alias("b"), "e")
+    up_to = lambda first, n: F.explode(F.sequence(first, F.col(n) - 1))
+    own = sizes.select(*keys, F.col("dataset").alias("x"), F.col("dataset").alias("y"), "blocks", up_to(F.lit(0), "blocks").alias("bx")).select(*keys, "x", "y", "bx", up_to(F.col("bx"), "blocks").alias("by"))
+    base = sizes.where(F.col("dataset") == baseline).select(*keys, F.col("dataset").alias("x"), up_to(F.lit(0), "blocks").alias("bx"))
+    others = sizes.where(F.col("dataset") != baseline).select(*keys, F.col("dataset").alias("y"), up_to(F.lit(0), "blocks").alias("by"))
+    todo = own.unionByName(base.join(others, list(keys)))
+    head = [*keys, "x", "y", "bx", "by"]
+    left = placed.withColumnsRenamed({"dataset": "x", "b": "bx"}).join(todo, [*keys, "x", "bx"]).select(*head, F.lit(0).alias("side"), "e")
+    right = placed.withColumnsRenamed({"dataset": "y", "b": "by"}).join(todo.where("NOT (x = y AND bx = by)"), [*keys, "y", "by"]).select(*head, F.lit(1).alias("side"), "e")
+    rows = left.unionByName(right)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = ([np.asarray(e, np.float64) for e in pdf.loc[pdf["side"] == s, "e"]] for s in (0, 1))
+        at = dict(zip(head, key))
+        if (at["x"], at["bx"]) == (at["y"], at["by"]):
+            s, n = distances(np.stack(a)).sum() / 2, len(a) * (len(a) - 1) // 2
+        elif a and b:
+            s, n = np.sqrt(np.clip(2.0 - 2.0 * (np.stack(a) @ np.stack(b).T), 0.0, None)).sum(), len(a) * len(b)
+        else:  # a block that no vector was dealt to
+            s, n = 0.0, 0
+        return pd.DataFrame([[*key, s, n]], columns=[*head, "s", "n"])
 
-def distance(x: Column, y: Column) -> Column:
-    return F.sqrt(F.greatest(F.lit(2.0) - F.lit(2.0) * dot(x, y), F.lit(0.0)))
+    parts = rows.groupBy(*head).applyInPandas(sums, ", ".join(f"{c} {kinds[c]}" for c in head) + ", s double, n long")
+    return parts.groupBy(*keys, "x", "y").agg(F.try_divide(F.sum("s"), F.sum("n").cast("double")).alias("d"))
 
 
-def energy_distance(df: DataFrame, keys: Sequence[str] = ("question",), side: str = "dataset", id_col: str = "id", vector: str = "embedding", baseline: str = BASELINE) -> DataFrame:
-    """keys, dataset, value: relational form, all pairs of a comparison by a self-join on keys.
+def energy_distance(df: DataFrame, keys: Sequence[str] = ("question",), side: str = "dataset", id_col: str = "id", vector: str = "embedding", baseline: str = BASELINE, block: int = BLOCK) -> DataFrame:
+    """keys, dataset, value: all pairs of each comparison, in blocks.
 
-    The baseline's own mean is computed once for all systems. Null below two vectors a side.
+    The baseline's own mean is computed once for all systems. Null below two vectors a side. Null
+    vectors, keys and datasets take no part; repeated rows each count.
     """
-    v = df.select(*keys, F.col(side).alias("dataset"), F.col(id_col).alias("i"), F.col(vector).alias("e"))
-    a, b = v.alias("a"), v.alias("b")
-    same_key = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    within_or_base = ((F.col("a.dataset") == F.col("b.dataset")) & (F.col("a.i") < F.col("b.i"))) | ((F.col("a.dataset") == baseline) & (F.col("b.dataset") != baseline))
-    on = within_or_base
-    for c in same_key:
-        on = on & c
-    pairs = a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.dataset").alias("x"), F.col("b.dataset").alias("y"), distance(F.col("a.e"), F.col("b.e")).alias("d"))
-    means = pairs.groupBy(*keys, "x", "y").agg(F.avg("d").alias("d"))
+    v = df.select(*keys, F.col(side).alias("dataset"), F.col(id_col).alias("i"), F.col(vector).alias("e")).where(F.col("e").isNotNull())
+    means = pair_means(v, keys, baseline, block)
     cross = means.where((F.col("x") == baseline) & (F.col("y") != baseline)).select(*keys, F.col("y").alias("dataset"), F.col("d").alias("xy"))
     own = means.where(F.col("x") == F.col("y")).select(*keys, F.col("x").alias("dataset"), F.col("d").alias("within"))
     base = own.where(F.col("dataset") == baseline).select(*keys, F.col("within").alias("base"))

@@ -36,6 +36,9 @@ def test_energy_distance_in_both_forms(spark):
     df = frame(spark, sets)
     a = {r.dataset: r.value for r in vectors.energy_distance(df).collect()}
     b = {r.dataset: (r.value, r.p) for r in vectors.permutation_test(df, n=200).collect()}
+    small = {r.dataset: r.value for r in vectors.energy_distance(df.unionByName(df.limit(1).withColumn("embedding", F.lit(None).cast("array<float>"))), block=3).collect()}
+    assert small == {k: None if x is None else pytest.approx(x, abs=1e-9) for k, x in a.items()}
+    assert vectors.energy_distance(df.limit(0)).count() == 0
     assert a["far"] == pytest.approx(brute_energy(sets["human"], sets["far"]), abs=1e-9) == pytest.approx(b["far"][0], abs=1e-9)
     assert a["same"] == b["same"][0] == 0 and a["one"] is None and b["one"] == (None, None)
     assert b["far"][1] == pytest.approx(1 / 201) and b["same"][1] > 0.5
