@@ -63,15 +63,22 @@ def noise_band(df: DataFrame, keys: Sequence[str] = ("question",), value: str =
 
 def box_summary(df: DataFrame, keys: Sequence[str] = ("question", "dataset"), value: str = "value") -> DataFrame:
     """Quartiles and whiskers: the outermost values within 1.5 interquartile ranges."""
-    counts = df.where(finite(F.col(value)).isNotNull()).groupBy(*keys, finite(F.col(value)).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    # one pass over the rows; what follows works on counts of distinct values
+    # missing values are left out after the count: a filter before it would work out the value again
+    counts = df.groupBy(*keys, finite(F.col(value)).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    # one pass over the rows; what follows works on counts of distinct values. Quartiles are looked up by
+    # rank, as a percentile over a window would be worked out again for every row
     group = Window.partitionBy(*keys)
-    q = F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n"))
-    counts = counts.withColumn("_q", q.over(group))
+    counts = counts.withColumn("_n", F.when(F.col("_x").isNotNull(), F.col("_n")).otherwise(F.lit(0)))
+    counts = counts.withColumn("_c", F.sum("_n").over(group.orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_t", F.sum("_n").over(group))
+    ranks = {p: F.lit(p) * (F.col("_t") - 1) for p in (0.25, 0.5, 0.75)}
+    ranked = lambda r: F.min(F.when(F.col("_c") > r, F.col("_x"))).over(group)
+    low = {p: ranked(F.floor(r)) for p, r in ranks.items()}
+    between = [low[p] + (r - F.floor(r)) * (F.coalesce(ranked(F.floor(r) + 1), low[p]) - low[p]) for p, r in ranks.items()]
+    counts = counts.withColumn("_q", F.array(*between))
     reach = F.lit(1.5) * (F.col("_q")[2] - F.col("_q")[0])
     inside = F.when((F.col("_x") >= F.col("_q")[0] - reach) & (F.col("_x") <= F.col("_q")[2] + reach), F.col("_x"))
     out = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.first("_q").alias("_q"), F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
-    return out.select(*keys, "n", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "whisker_low", "whisker_high")
+    return out.where("n > 0").select(*keys, "n", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), "whisker_low", "whisker_high")
 
 
 def run_summary(df: DataFrame, attempts: str = "attempts", ok: str = "ok") -> DataFrame:

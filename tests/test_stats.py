@@ -138,3 +138,9 @@ def test_texts_are_scanned_once(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1
         assert df.where(F.col("question") == "q1").count() in (2, 3)
+
+
+def test_box_of_groups_without_values(spark):
+    rows = [("q1", "human", 1.0), ("q1", "human", 3.0), ("q1", "human", math.nan), ("q1", "human", None), ("q1", "llama", None), (None, "human", 2.0)]
+    got = {(r.question, r.dataset): (r.n, r.median, r.whisker_low, r.whisker_high) for r in agg.box_summary(spark.createDataFrame(rows, "question string, dataset string, value double")).collect()}
+    assert got == {("q1", "human"): (2, 2.0, 1.0, 3.0), (None, "human"): (1, 2.0, 2.0, 2.0)}
