@@ -85,8 +85,8 @@ def finite(x: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    """The double that a string says, null where it says none."""
-    return finite(x.try_cast("double"))
+    """The double that a string says, null where it says none; Java's suffixes (``1d``) are no number."""
+    return F.when(~x.cast("string").rlike(r"[dDfF]\s*$"), finite(x.try_cast("double")))
 
 
 def rounded(x: Column, places: int = 6) -> Column:

@@ -540,21 +540,6 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _people(spark, sf_dir).select("respondent_id", F.length(p).cast("long").alias("n_chars"), F.md5(p).alias("prompt_md5"))
 
 
-@query()
-def simulate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.simulated(_people(spark, sf_dir), lambda: enrich.StubResponder(5))
-
-
-@query()
-def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.run_summary(simulate_answers(spark, sf_dir))
-
-
-@query()
-def enrich_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.labelled(s.table(spark, sf_dir, "conversations"), lambda: enrich.StubResponder(7))
-
-
 @query()
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.embed(s.table(spark, sf_dir, "benchmark"), enrich.StubEmbedder)
