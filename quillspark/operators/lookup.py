@@ -21,22 +21,29 @@ def lookup_table(lexicon: DataFrame) -> DataFrame:
     return keys.groupBy("k").agg(F.max_by("label", "pos").alias("label"))
 
 
-def looked_up(df: DataFrame, lexicon: DataFrame, column: str = "raw") -> DataFrame:
+def looked_up(df: DataFrame, lexicon: DataFrame, column: str = "raw", norm: str | None = None, lower: str | None = None) -> DataFrame:
     """Adds sentiment_label, sentiment_score and sentiment_source (raw, norm, lower or missing).
 
-    An entry without a label is found but has null label and score. The table is joined three
+    An entry without a label is found but has null label and score. ``norm`` and ``lower`` are the
+    columns of the normalised and the lower-cased text where there are such: the same text worked out
+    in two columns makes Spark 4.1 generate code that doesn't compile. The table is joined three
     times; Spark broadcasts it where its size allows and shuffles else.
     """
     table = lookup_table(lexicon).withColumn("hit", F.lit(True))
-    out = df.withColumn("_1", tx.safe(F.col(column))).withColumn("_2", tx.norm_ws(F.col(column))).withColumn("_3", F.lower("_2"))
-    for i in (1, 2, 3):
-        out = out.join(table.select(F.col("k").alias(f"_{i}"), F.col("label").alias(f"label{i}"), F.col("hit").alias(f"hit{i}")), f"_{i}", "left")
-    blank = F.col("_2") == ""
+    out = df.withColumn("_1", tx.safe(F.col(column)))
+    if norm is None:
+        out, norm = out.withColumn("_2", tx.norm_ws(F.col(column))), "_2"
+    if lower is None:
+        out, lower = out.withColumn("_3", F.lower(norm)), "_3"
+    for i, form in enumerate(("_1", norm, lower), 1):
+        side = table.select(F.col("k").alias(f"k{i}"), F.col("label").alias(f"label{i}"), F.col("hit").alias(f"hit{i}"))
+        out = out.join(side, F.col(form) == F.col(f"k{i}"), "left")
+    blank = F.col(norm) == ""
     pick = lambda of: F.when(blank, of(0)).when(F.col("hit1"), of(1)).when(F.col("hit2"), of(2)).when(F.col("hit3"), of(3)).otherwise(of(0))
     label = pick(lambda i: F.col(f"label{i}") if i else F.lit(None).cast("string"))
     source = pick(lambda i: F.lit(("missing", "raw", "norm", "lower")[i]))
     out = out.withColumn("sentiment_label", label).withColumn("sentiment_source", source).withColumn("sentiment_score", tx.sentiment_score(F.col("sentiment_label")))
-    return out.drop("_1", "_2", "_3", *[f"{x}{i}" for x in ("label", "hit") for i in (1, 2, 3)])
+    return out.drop("_1", "_2", "_3", *[f"{x}{i}" for x in ("k", "label", "hit") for i in (1, 2, 3)])
 
 
 def spell_counts(df: DataFrame, vocabulary: DataFrame, id_cols: list[str], column: str = "raw", word: str = "word") -> DataFrame:

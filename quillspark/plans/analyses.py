@@ -110,7 +110,7 @@ def build_long(df: DataFrame, cmap: reshape.ColumnMap, questions: dict[str, str]
         long = long.join(lookup.spell_counts(long, vocabulary, ["respondent_id", "question"], "normalized_raw"), ["respondent_id", "question"], "left")
     else:
         long = long.withColumn("spell_n_errors", F.lit(None).cast("long")).withColumn("spell_has_errors", F.lit(None).cast("int"))
-    return lookup.looked_up(long, lexicon)
+    return lookup.looked_up(long, lexicon, norm="normalized_raw", lower="entropy_key")
 
 
 def build_likert(df: DataFrame, cmap: reshape.ColumnMap, dataset: str) -> DataFrame:
