@@ -189,3 +189,15 @@ def test_subgroups_in_one_plan_are_the_subgroups_one_by_one(spark):
 
     props = analyses.subgroup_suite(people, scores, agg.proportions)
     assert got == {tuple(r) for r in props.select("subgroup", "bin", "question", "dataset", "option", "n").collect()} and {g[1] for g in got} == {"Sostegno", "Curricolare"}
+
+
+def test_spaces_and_suffixes(spark, tmp_path):
+    from quillspark.functions.numeric import number
+    from quillspark.sources import tables
+
+    values = [" a ", "", '"x", y', "b\tc "]
+    tables.write_csv(spark.createDataFrame([(v,) for v in values], "v string"), str(tmp_path / "c"))
+    assert sorted(r.v for r in tables.read_wide(spark, str(tmp_path / "c"), ["v"], kind="csv").collect()) == sorted(values)
+    texts = [" 1 ", "1d", "2F ", "-3e2", "NaN", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in df.select(number(F.col("t")).alias("x")).collect()] == [1.0, None, None, -300.0, None, None, None]
