@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, dropped, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -35,6 +35,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], name: str) -> tuple[DataFrame, str]:
+    """Adds, under each name, the sum of a column over all rows before in order; and the path of the
+    table behind it. In two levels, so that no task sorts all rows: the rows are written in ranges,
+    and a range begins with the sums of those before it, of which there are as many as shuffle partitions."""
+    spread, path = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    starts = spread.groupBy("_range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    starts = starts.select("_range", *[before(n, earlier).alias(f"_{n}") for n in sums])
+    out = spread.join(F.broadcast(starts), "_range")
+    return out.select(*df.columns, *[(before(c, inside) + F.col(f"_{n}")).alias(n) for n, c in sums.items()]), path
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """Targets of a table (source, source_size), one row a source.
 
@@ -42,24 +56,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     of all sizes by weight but none passes ``cap`` times its source; what is cut off is shared
     again, by weight, until none passes. With rates ``cap * size / weight`` in ascending order
     the level of that water-filling is the largest of (total - caps before) / weights from here.
+    Empty table: no rows. Runs actions; there may be any number of sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_rate = Window.orderBy("rate", "idx")
-    everything = Window.partitionBy()
-    kind = (F.col("idx") - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (kind + 1).cast("int"))
+    kind = (F.col("idx") % len(weights)).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("kind") + 1)
     capped = F.col("source_size") * F.lit(cap)
-    return (
-        sizes.withColumn("idx", F.row_number().over(by_name))
-        .withColumn("kind", kind.cast("int"))
-        .withColumn("weight", weight)
-        .withColumn("rate", capped.cast("double") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("before", F.coalesce(F.sum(capped).over(by_rate.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_rate.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("level", F.max((F.col("total") - F.col("before")).cast("double") / F.col("rest")).over(everything))
-        .select("source", "source_size", "kind", F.least(capped.cast("double"), F.col("level") * F.col("weight")).alias("target"))
-    )
+    named, names = running_sums(sizes, [F.col("source").asc_nulls_last()], {"idx": F.lit(1).cast("long")}, "mix-names")
+    rates = named.withColumn("kind", kind).withColumn("weight", weight).withColumn("rate", capped.cast("double") / F.col("weight"))
+    rated, _ = running_sums(rates, [F.col("rate"), F.col("idx")], {"before": capped, "weight_before": F.col("weight")}, "mix-rates")
+    dropped(sizes.sparkSession, names)
+    total, weighs = rated.agg(F.sum("source_size"), F.sum("weight")).first()
+    from_here = F.lit(weighs).cast("double") - F.col("weight_before")
+    (level,) = rated.agg(F.max((F.lit(total).cast("long") - F.col("before")).cast("double") / from_here)).first()
+    return rated.select("source", "source_size", "kind", F.least(capped.cast("double"), F.lit(level).cast("double") * F.col("weight")).alias("target"))
 
 
 def inverse_demand(share: Column, kind: Column, schedules: Sequence[Sequence[float]] = SCHEDULES) -> Column:

@@ -93,6 +93,27 @@ def test_targets_fill_up_to_the_cap(spark):
     assert abs(got["c"] - level) < 1e-9 and abs(got[None] - min(900, 5 * level)) < 1e-9
 
 
+def test_targets_of_many_sources_over_several_ranges(spark):
+    rnd = random.Random(9)
+    sizes = {**{f"http://h/{rnd.random()}": rnd.choice([0, 1, 7, 7, rnd.randint(1, 10**6)]) for _ in range(400)}, None: 5}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # would make one range of few rows
+    try:
+        got = {r.source: (r.kind, r.target) for r in mixing.source_targets(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    free, left = set(names), sum(sizes.values())
+    while over := {s for s in free if 3 * sizes[s] <= left / sum(weight[x] for x in free) * weight[s]}:
+        free -= over
+        left -= sum(3 * sizes[s] for s in over)
+    for i, s in enumerate(names):
+        want = left / sum(weight[x] for x in free) * weight[s] if s in free else 3 * sizes[s]
+        assert got[s][0] == i % 3 and abs(got[s][1] - want) < 1e-6 * max(1, want)
+    assert mixing.source_targets(df.limit(0)).count() == 0
+
+
 def test_mix_meets_targets_and_schedules(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice(["a", "b", "c", "d", None]), " ".join("w" * rnd.randint(0, 40)), 0) for i in range(800)] + [(None, "a", None, 0), (5000, "e", "", 0)]
