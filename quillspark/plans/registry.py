@@ -540,9 +540,19 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _people(spark, sf_dir).select("respondent_id", F.length(p).cast("long").alias("n_chars"), F.md5(p).alias("prompt_md5"))
 
 
-@query()
+@query(
+    "WITH g AS (SELECT item_id, " + _hex("md5(substr(t, i + 1, 3))") + " AS h FROM (SELECT item_id, t, unnest(range(greatest(1, length(t) - 2))) AS i FROM (SELECT item_id, coalesce(text, '') AS t FROM benchmark))), "
+    "c AS (SELECT item_id, h % 64 AS d, sum(CASE WHEN (h & 1024) > 0 THEN 1 ELSE -1 END) AS c FROM g GROUP BY ALL), "
+    "a AS (SELECT item_id, d, coalesce(c, 0) AS c FROM (SELECT item_id, unnest(range(64)) AS d FROM benchmark) LEFT JOIN c USING (item_id, d)) "
+    "SELECT item_id, CAST(count(*) AS INTEGER) AS size, string_agg(CASE WHEN c > 0 THEN '+' WHEN c < 0 THEN '-' ELSE '0' END, '' ORDER BY d) AS signs, CAST(arg_max(d, c * 100 - d) AS BIGINT) AS top, 1e0 AS norm FROM a GROUP BY item_id"
+)
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.embed(s.table(spark, sf_dir, "benchmark"), enrich.StubEmbedder)
+    """Of each vector its size, the signs of its components, the place of the greatest and the norm."""
+    e = F.col("embedding")
+    sign = F.transform(e, lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0"))
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    out = vectors.embed(s.table(spark, sf_dir, "benchmark"), enrich.StubEmbedder)
+    return out.select("item_id", F.size(e).alias("size"), F.array_join(sign, "").alias("signs"), (F.array_position(e, F.array_max(e)) - 1).alias("top"), rounded(norm, 5).alias("norm"))
 
 
 _RAW = "CASE o_orderkey % 5 WHEN 0 THEN '[\"positivo\", [\"gioia\", \"noia\"]]' WHEN 1 THEN '[\"neutro\", []]' WHEN 2 THEN '[\"strano\", [\"paura\"]]' WHEN 3 THEN 'x' ELSE '[\"negativo\", [\"paura\", \"paura\"]]' END"
