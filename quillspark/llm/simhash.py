@@ -212,14 +212,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
 
 
 #: For texts that are similar without being nearly equal: words of a shingle, similarity, hashes of
-#: a sketch, and by how much a sketch may err (seven standard deviations: one pair in 10**11). Common shingles are looked for in so many characters
-#: of the texts, and at most so many are kept.
+#: a sketch, and by how much a sketch may err (seven standard deviations: one pair in 10**11).
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCH = 128
 SLACK = 0.25
-SAMPLE_CHARS = 64_000_000
+#: Shingles that are broadcast with their counts, at most; characters of the texts for each task that
+#: counts, ranges of hashes for each, and hashes that are gathered before they are dealt out by range.
 COMMON = 1 << 17
+COUNTED = 1 << 24
+RANGES = 16
+DEALT = 1 << 20
 #: Words of 64 bits in the bitmap of a set of shingles.
 BITMAP = 8
 
@@ -229,19 +232,69 @@ def _shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(w), min(n, len(w)))) if w else np.empty(0, np.uint64)
 
 
-def _listed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text in batch.column("text"):
-            yield pa.RecordBatch.from_arrays([pa.array(_shingles(text.as_py(), shingle).view(np.int64))], ["h"])
+def _slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of the values, cut at these starts."""
+    offsets = np.append(starts, len(values)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _listed(batches: Iterator[pa.RecordBatch], shingle: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Shingles and in how many of the texts gathered they are, a row for each range of hashes."""
+    held, size = [], 0
 
+    def listed() -> Iterator[pa.RecordBatch]:
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        for at in range(0, len(found), DEALT):
+            h, n = found[at : at + DEALT].astype("<u8"), counts[at : at + DEALT].astype("<u4")
+            part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts]), _slices(h, starts), _slices(n, starts)], ["part", "h", "n"])
 
-def common_shingles(rows: DataFrame, shingle: int, chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in three or more of a sample of the texts, sorted, and in how many. They only
-    say in which order shingles are taken, so what a sample lacks costs time but no pair."""
+    for batch in batches:
+        for text in batch.column("text"):
+            held.append(_shingles(text.as_py(), shingle))
+            size += len(held[-1])
+            if size >= DEALT:
+                yield from listed()
+                held, size = [], 0
+    if size:
+        yield from listed()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of a task's ranges that are in three or more texts, and in how many."""
+    rows = [(h.as_py(), n.as_py()) for batch in batches for h, n in zip(batch.column("h"), batch.column("n"))]
+    h, n = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*rows), ("<u8", "<u4"))) if rows else (np.empty(0, np.uint64), np.empty(0, np.uint32))
+    order = np.argsort(h)
+    h, n = h[order], n[order].astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    sums = np.add.reduceat(n, starts) if len(h) else n
+    often = sums > 2
+    h, n = h[starts][often], sums[often]
+    for at in range(0, len(h), GATHERED):
+        yield pa.RecordBatch.from_arrays([pa.array(h[at : at + GATHERED].view(np.int64)), pa.array(n[at : at + GATHERED])], ["h", "n"])
+
+
+def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, and in how many of the rows they are, counted over all: those in m rows or
+    more, for the least m from 3 on that leaves ``COMMON`` or fewer. They only say in which order
+    shingles are taken, so pairs that share one in less than m rows are found like any other.
+
+    Hashes are dealt out by range, in arrays, so no row is one shingle and none of a shingle that is
+    in many texts has more than one entry in each array."""
+    spark = rows.sparkSession
     total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int((1 << 20) * min(1, chars / max(1, total))))
-    found = sample.select("text").mapInArrow(lambda it: _listed(it, shingle), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    top = found.orderBy(F.desc("n"), "h").limit(COMMON).toPandas().to_numpy(np.int64).reshape(-1, 2)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNTED))
+    parts = rows.select("text").mapInArrow(lambda it: _listed(it, shingle, RANGES * tasks), "part int, h binary, n binary")
+    counts, at = written(parts.repartition(tasks, "part").mapInArrow(_counted, "h long, n long"), "counts")
+    least, kept = 3, 0
+    for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("shingles")).collect(), reverse=True):
+        kept += r.shingles
+        if kept > COMMON:
+            least = r.n + 1
+            break
+    top = counts.where(F.col("n") >= least).toPandas().to_numpy(np.int64).reshape(-1, 2)
+    dropped(spark, at)
     h = top[:, 0].copy().view(np.uint64)
     order = np.argsort(h)
     return h[order], top[order, 1]

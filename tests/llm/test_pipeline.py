@@ -169,3 +169,28 @@ def test_large_group_of_near_copies(spark):
         rows.append((i, " ".join(w), i))
     got = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, _rid int"))
     assert got.columns == ["doc_id", "text", "_rid"] and {r.doc_id for r in got.collect()} == brute_kept(rows)
+
+
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    """130 million characters of filler beside the texts whose shingles are counted."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"w{j}" for j in range(i % 7, 30 + i % 11)) for i in range(50)] + [None, "", "one word", "in two texts", "in two texts"]
+    filler = spark.range(400).select(F.expr("repeat(concat(repeat('x', 999), ' '), 325)").alias("text"))
+    few = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = filler.unionByName(few).select(F.monotonically_increasing_id().alias("rid"), "text")
+    want = Counter(h for t in texts for h in simhash._shingles(t, 5).tolist())
+    want[simhash._shingles(" ".join(["x" * 999] * 9), 5).item()] = 400
+    assert 2 in want.values()
+
+    def got():
+        h, n = simhash.common_shingles(rows, 5)
+        assert h.tolist() == sorted(h.tolist())
+        return dict(zip(h.tolist(), n.tolist()))
+
+    assert got() == {h: n for h, n in want.items() if n > 2}
+    monkeypatch.setattr(simhash, "COMMON", 5)  # what shares a count stays or goes together
+    least = min(m for m in set(want.values()) if sum(n >= m for n in want.values()) <= 5)
+    assert got() == {h: n for h, n in want.items() if n >= least} and least > 3
