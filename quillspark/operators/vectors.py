@@ -8,7 +8,6 @@ least 0.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..schema import BASELINE, PERMUTATIONS, SEED
 
-#: Vectors of one comparison that a task of the permutation test may hold.
-MOST = 6000
 #: Vectors of a block; a task of the energy distance holds two.
 BLOCK = 2048
+#: Vectors of a block where sides are shuffled, rows of distances that are worked on at once, and
+#: shuffles that a task draws.
+SHUFFLED, STRIP, DRAWN = 4096, 512, 40
 
 
 def pair_means(v: DataFrame, keys: Sequence[str], baseline: str = BASELINE, block: int = BLOCK) -> DataFrame:
@@ -94,67 +94,157 @@ def statistics(d: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, 2 * xy / (n * m) - xx / (n * (n - 1)) - yy / (m * (m - 1)))
 
 
-def shuffles(rows: Sequence[str], n: int, reps: int, seed: int, analysis: str, parts: Sequence[object] = ()) -> np.ndarray:
-    """A 0/1 column for each repetition: the n rows that come first by the digest of seed, analysis,
-    parts, repetition and row, as ``resample.draw`` has it; equal rows in their order here."""
-    out = np.zeros((len(rows), reps))
-    for r in range(reps):
-        head = "|".join(str(p) for p in (seed, analysis, *parts, r) if p is not None)
-        digests = np.array([hashlib.md5(f"{head}|{row}".encode()).hexdigest() for row in rows])
-        out[np.argsort(digests, kind="stable")[:n], r] = 1.0
+def shuffles(rows: Sequence[str], n: int, reps: int, seed: int, analysis: str, parts: Sequence[object] = (), first: int = 0) -> np.ndarray:
+    """A 0/1 column for each repetition from ``first`` on: the n rows that come first by the digest of
+    seed, analysis, parts, repetition and row, as ``resample.draw`` has it; equal rows in their order
+    here."""
+    out = np.zeros((len(rows), reps), np.uint8)
+    ends = [row.encode() for row in rows]
+    for r in range(reps if n else 0):
+        at = digests("|".join(str(p) for p in (seed, analysis, *parts, first + r) if p is not None), ends)
+        high = at["high"]
+        last = np.partition(high, n - 1)[n - 1]
+        out[high < last, r] = 1
+        # rows that agree with the last one in half of their digest
+        tied = np.flatnonzero(high == last)
+        tied = tied[np.argsort(at["low"][tied], kind="stable")]
+        out[tied[: n - int(out[:, r].sum())], r] = 1
     return out
 
 
-def permutation_test(df: DataFrame, keys: Sequence[str] = ("question",), side: str = "dataset", id_col: str = "id", vector: str = "embedding", n: int = PERMUTATIONS, seed: int = SEED, baseline: str = BASELINE, most: int = MOST) -> DataFrame:
+def digests(head: str, ends: Sequence[bytes]) -> np.ndarray:
+    """The MD5 digests of head, a bar and each end, as two big-endian numbers."""
+    start = f"{head}|".encode()
+    return np.frombuffer(b"".join([hashlib.md5(start + end).digest() for end in ends]), [("high", ">u8"), ("low", ">u8")])
+
+
+def _pair_sums(z: Sequence[np.ndarray], sides: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the pairs of vectors within one block or across two: for each column of 0/1 the sum of
+    distances whose ends are both side X, and that of the distances of side X to all; and the sum of
+    all distances. Each pair counts once. Strips of rows, so no whole block of distances is held."""
+    other, across = sides[-1].astype(np.float64), len(z) > 1
+    xx, xs, total = np.zeros(other.shape[1]), np.zeros(other.shape[1]), 0.0
+    columns = np.zeros(len(z[-1]))
+    for at in range(0, len(z[0]), STRIP):
+        d = z[0][at : at + STRIP] @ z[-1].T
+        d *= -2.0
+        d += 2.0
+        np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+        if not across:
+            rows = np.arange(len(d))
+            d[rows, at + rows] = 0.0
+        mine = sides[0][at : at + STRIP].astype(np.float64)
+        xx += np.einsum("ij,ij->j", mine, d @ other)
+        sums = d.sum(axis=1)
+        xs += sums @ mine
+        total += sums.sum()
+        columns += d.sum(axis=0)
+    return (xx, xs + columns @ other, total) if across else (xx / 2, xs, total / 2)
+
+
+def resampled_energy(units: DataFrame, head: Sequence[str], n: int, seed: int, analysis: str, halves: bool = False, most: int | None = None, block: int = SHUFFLED) -> DataFrame:
+    """head, n1, n2 and ``values``: the energy distances of two sides of each set of a table (head,
+    base, i, e), first of base rows and others, then of each of n shuffles.
+
+    A shuffle's first rows are side X, as many as there are base rows, or half of them with
+    ``halves``; a row is drawn by base and i, or by i with ``halves``. Sets are dealt by hash into
+    blocks of about ``block`` vectors. A task takes a pair of blocks and gives its share of three
+    sums for every shuffle, so a task holds the vectors of two blocks, however large a set is; only
+    the labels of a set, not its vectors, are held whole to draw some of the shuffles. The work is
+    still quadratic. Sets of more than ``most`` vectors, if that is given, raise an error.
+    """
+    spark = units.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    head = list(head)
+    kinds = {f.name: f.dataType.simpleString() for f in units.schema}
+    keyed = ", ".join(f"`{c}` {kinds[c]}" for c in head)
+    sizes = units.groupBy(*head).agg(F.count(F.lit(1)).alias("n"), F.sum("base").alias("n1"))
+    same = units.join(sizes.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(head)], "n", "n1"), [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(head)])
+    same = same.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = same.withColumn("b", F.pmod(F.xxhash64("base", "i"), F.col("blocks").cast("long")).cast("int"))
+    packed = dealt.groupBy(*head, "n", "n1", "blocks", "b").agg(F.sort_array(F.collect_list(F.struct((-F.col("base")).alias("o"), "i", "e"))).alias("rows"))
+    label = (lambda r: r["i"]) if halves else (lambda r: F.concat_ws("|", (-r["o"]).cast("string"), r["i"]))
+    labels = packed.select(*head, "n", "n1", "b", F.transform("rows", label).alias("labels")).groupBy(*head, "n", "n1").agg(F.sort_array(F.collect_list(F.struct("b", "labels"))).alias("of"))
+    # a fixed number of repetitions, so the broadcast side is bounded
+    parts = F.broadcast(spark.range(0, n, DRAWN).select(F.col("id").cast("int").alias("first")))
+    # a number of tasks, as adaptive execution would join tasks that read little but work long
+    drawing = labels.crossJoin(parts).repartition(tasks, *head, "first").groupBy(*head, "first")
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row, out, at = pdf.iloc[0], [], 0
+        if most is not None and row["n"] > most:
+            raise ValueError(f"{row['n']} vectors in one comparison; at most {most}")
+        lists = [list(x["labels"]) for x in row["of"]]
+        *parts, first = key
+        found = shuffles(sum(lists, []), int(row["n"] // 2 if halves else row["n1"]), min(DRAWN, n - first), seed, analysis, [None if p is None or p != p else p for p in parts], first)
+        for x, of in zip(row["of"], lists):
+            out.append([*key, x["b"], np.packbits(found[at : at + len(of)], axis=1).tobytes()])
+            at += len(of)
+        return pd.DataFrame(out, columns=[*head, "first", "b", "bits"])
+
+    drawn = drawing.applyInPandas(draw, keyed + ", first int, b int, bits binary").groupBy(*head, "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "bits"))), lambda x: x["bits"]).alias("bits"))
+    drawn = drawn.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(head)], F.col("b").alias("_b"), "bits")
+    blocks = packed.join(drawn, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(head)] + [F.col("b") == F.col("_b")])
+    # plain arrays, which reach Python as such; rows of structs would take many times their size there
+    flat = (F.transform("rows", lambda r: -r["o"]).alias("base"), F.flatten(F.transform("rows", lambda r: r["e"])).alias("e"))
+    paired = blocks.select(*head, "n", "n1", "b", *flat, "bits", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to")).withColumn("x", F.least("b", "to")).withColumn("y", F.greatest("b", "to"))
+
+    def share(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, z, sides = pdf.sort_values("b"), [], []
+        for base, e, bits in zip(pdf["base"], pdf["e"], pdf["bits"]):
+            z.append(np.asarray(e, np.float64).reshape(len(base), -1))
+            found = [np.asarray(base, np.uint8)[:, None]]
+            for at, b in zip(range(0, n, DRAWN), bits):
+                found.append(np.unpackbits(np.frombuffer(b, np.uint8).reshape(len(base), -1), axis=1, count=min(DRAWN, n - at)))
+            sides.append(np.concatenate(found, axis=1))
+        if len(z) == 1 and key[-2] != key[-1]:  # a block that no vector was dealt to
+            xx, xs, total = np.zeros(n + 1), np.zeros(n + 1), 0.0
+        else:
+            xx, xs, total = _pair_sums(z, sides)
+        return pd.DataFrame([[*key[:-2], pdf["n"].iloc[0], pdf["n1"].iloc[0], key[-2], key[-1], xx, xs, total]], columns=[*head, "n", "n1", "x", "y", "xx", "xs", "total"])
+
+    shares = paired.repartition(tasks, *head, "x", "y").groupBy(*head, "x", "y").applyInPandas(share, keyed + ", n long, n1 long, x int, y int, xx array<double>, xs array<double>, total double")
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        xx, xs, total = pdf["xx"].sum(), pdf["xs"].sum(), pdf["total"].sum()
+        size = int(pdf["n"].iloc[0])
+        x = np.full(n + 1, size // 2 if halves else pdf["n1"].iloc[0], np.float64)
+        x[0] = pdf["n1"].iloc[0]
+        y = size - x
+        with np.errstate(divide="ignore", invalid="ignore"):
+            values = np.maximum(0.0, 2 * (xs - 2 * xx) / (x * y) - 2 * xx / (x * (x - 1)) - 2 * (total - xs + xx) / (y * (y - 1)))
+        return pd.DataFrame([[*key, int(x[0]), size - int(x[0]), values]], columns=[*head, "n1", "n2", "values"])
+
+    return shares.groupBy(*head).applyInPandas(whole, keyed + ", n1 long, n2 long, values array<double>")
+
+
+def permutation_test(df: DataFrame, keys: Sequence[str] = ("question",), side: str = "dataset", id_col: str = "id", vector: str = "embedding", n: int = PERMUTATIONS, seed: int = SEED, baseline: str = BASELINE, most: int | None = None) -> DataFrame:
     """keys, dataset, value and p = (1 + permutations that reach the value) / (n + 1).
 
-    One task takes one comparison, of all keys and systems at once: distances are computed once
-    and all permutations are one matrix product. A comparison of more than ``most`` vectors
-    raises an error instead of being sampled. Null below two vectors a side. A row is drawn by
-    1 (baseline) or 0 and its id, under the comparison's keys and dataset.
+    All keys and systems at once, in pairs of blocks: see ``resampled_energy``. A comparison of more
+    than ``most`` vectors, if that is given, raises an error; nothing is sampled. Null below two
+    vectors a side. A row is drawn by 1 (baseline) or 0 and its id, under the comparison's keys and
+    dataset. Null vectors take no part.
     """
-    v = df.select(*keys, F.col(side).alias("dataset"), F.col(id_col).cast("string").alias("i"), F.col(vector).alias("e"))
+    v = df.select(*keys, F.col(side).alias("dataset"), F.col(id_col).cast("string").alias("i"), F.col(vector).alias("e")).where(F.col("e").isNotNull())
     systems = v.where(F.col("dataset") != baseline).select(*keys, "dataset").distinct()
     base = v.where(F.col("dataset") == baseline).drop("dataset").join(systems, list(keys)).withColumn("base", F.lit(1))
-    rows = base.unionByName(v.where(F.col("dataset") != baseline).withColumn("base", F.lit(0)).select(base.columns))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    units = base.unionByName(v.where(F.col("dataset") != baseline).withColumn("base", F.lit(0)).select(base.columns))
     head = [*keys, "dataset"]
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} vectors in one comparison; at most {most}")
-        pdf = pdf.sort_values(["base", "i"], ascending=[False, True])
-        z = np.stack([np.asarray(e, np.float64) for e in pdf["e"]])
-        sides = pdf["base"].to_numpy(np.float64)[:, None]
-        x = int(sides.sum())
-        value = p = math.nan
-        if x >= 2 and len(z) - x >= 2:
-            d = distances(z)
-            value = float(statistics(d, sides)[0])
-            rows = [f"{b}|{i}" for b, i in zip(pdf["base"], pdf["i"])]
-            ge = int((statistics(d, shuffles(rows, x, n, seed, "permutation", list(pdf.iloc[0][head]))) >= value - 1e-12).sum())
-            p = (ge + 1) / (n + 1)
-        return pd.DataFrame([[*pdf.iloc[0][head], None if math.isnan(value) else value, None if math.isnan(p) else p]], columns=[*head, "value", "p"])
-
-    return rows.groupBy(*head).applyInPandas(test, ", ".join(f"{c} {kinds[c]}" for c in head) + ", value double, p double")
-
-
-def split_half_energy(df: DataFrame, keys: Sequence[str] = ("question",), id_col: str = "id", vector: str = "embedding", n: int = 400, seed: int = SEED, most: int = MOST) -> DataFrame:
-    """keys, rep, value: energy distance of random halves of one dataset, by the same product."""
-    v = df.select(*keys, F.col(id_col).cast("string").alias("i"), F.col(vector).alias("e"))
-    kinds = {f.name: f.dataType.simpleString() for f in v.schema}
-
-    def halves(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"{len(pdf)} vectors in one set; at most {most}")
-        pdf = pdf.sort_values("i")
-        z = np.stack([np.asarray(e, np.float64) for e in pdf["e"]])
-        if len(z) < 4:
-            return pd.DataFrame(columns=[*keys, "rep", "value"])
-        values = statistics(distances(z), shuffles(list(pdf["i"]), len(z) // 2, n, seed, "split", list(pdf.iloc[0][list(keys)])))
-        return pd.DataFrame({**{k: pdf.iloc[0][k] for k in keys}, "rep": np.arange(n, dtype=np.int32), "value": values})
-
-    return v.groupBy(*keys).applyInPandas(halves, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", rep int, value double")
+    found = resampled_energy(units, head, n, seed, "permutation", most=most)
+    enough = (F.col("n1") >= 2) & (F.col("n2") >= 2)
+    value = F.col("values")[0]
+    reach = F.size(F.filter(F.slice("values", 2, n), lambda x: x >= value - F.lit(1e-12)))
+    return found.select(*head, F.when(enough, value).alias("value"), F.when(enough, (reach + F.lit(1)) / F.lit(n + 1.0)).alias("p"))
+
+
+def split_half_energy(df: DataFrame, keys: Sequence[str] = ("question",), id_col: str = "id", vector: str = "embedding", n: int = 400, seed: int = SEED, most: int | None = None) -> DataFrame:
+    """keys, rep, value: energy distance of random halves of one dataset, in the same way. Sets of
+    fewer than 4 vectors have no rows."""
+    units = df.select(*keys, F.lit(1).alias("base"), F.col(id_col).cast("string").alias("i"), F.col(vector).alias("e")).where(F.col("e").isNotNull())
+    found = resampled_energy(units, keys, n, seed, "split", halves=True, most=most).where(F.col("n1") + F.col("n2") >= 4)
+    return found.select(*keys, F.posexplode(F.slice("values", 2, n)).alias("rep", "value"))
 
 
 def embed(texts: DataFrame, embedder, text: str = "text", batch: int = 64) -> DataFrame:

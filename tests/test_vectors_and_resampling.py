@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -84,3 +85,35 @@ def test_keyness_floor_counts_rare_tokens(spark):
     assert keyness.top_terms(kdf).count() == 1
     empty = keyness.log_odds(keyness.token_counts(spark.createDataFrame([], "question string, dataset string, tokens array<string>")))
     assert empty.count() == 0 and "p_adj" in empty.columns
+
+
+def shuffled_energy(z, base, labels, head, n, size):
+    """The statistic of each shuffle, by the loop."""
+    out = []
+    for r in range(n):
+        order = sorted(range(len(z)), key=lambda j: (hashlib.md5(f"42|{head}|{r}|{labels[j]}".encode()).hexdigest(), labels[j]))
+        out.append(brute_energy(z[order[:size]], z[order[size:]]))
+    return brute_energy(z[base == 1], z[base == 0]) if 0 < base.sum() < len(z) else None, out
+
+
+def test_permutations_in_blocks_equal_the_loop(spark):
+    rng = np.random.default_rng(5)
+    z = unit(rng, 23)
+    base = np.array([1] * 9 + [0] * 14)
+    rows = [("q1", "far", int(b), str(i), [float(a) for a in v]) for i, (b, v) in enumerate(zip(base, z))]
+    df = spark.createDataFrame(rows, "question string, dataset string, base int, i string, e array<float>")
+    seen, values = shuffled_energy(z, base, [f"{b}|{i}" for i, b in enumerate(base)], "permutation|q1|far", 90, 9)
+    for block in (4, 100):
+        got = vectors.resampled_energy(df, ["question", "dataset"], 90, 42, "permutation", block=block).first()
+        assert (got.n1, got.n2) == (9, 14) and list(got["values"]) == pytest.approx([seen, *values], abs=1e-9)
+
+
+def many(spark, n):
+    """2 n vectors of one question, half of them the baseline's."""
+    e = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (F.sin(F.col("id") * k) / 2).cast("float"))
+    return spark.range(2 * n).select(F.lit("q1").alias("question"), F.when(F.col("id") % 2 == 0, "human").otherwise("far").alias("dataset"), "id", e.alias("embedding"))
+
+
+def test_permutations_of_more_vectors_than_a_task_holds(spark):
+    got = vectors.permutation_test(many(spark, 3100), n=3).collect()
+    assert len(got) == 1 and got[0].value >= 0 and got[0].p >= 0.25
