@@ -6,14 +6,20 @@ order of these digests.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 from ..schema import BOOTSTRAPS, MIN_IDS, SEED, SPLITS
 from .agg import normalized_entropy
+from .vectors import digests
+
+#: Ids of a block, and draws that a task makes at once.
+BLOCK, DRAWS = 4096, 65536
 
 
 def repetitions(spark: SparkSession, n: int) -> DataFrame:
@@ -21,7 +27,11 @@ def repetitions(spark: SparkSession, n: int) -> DataFrame:
 
 
 def draw(analysis: str, seed: int, *parts: str | Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(analysis), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
+    return F.md5(head_of(analysis, seed, *parts))
+
+
+def head_of(analysis: str, seed: int, *parts: str | Column) -> Column:
+    return F.concat_ws("|", F.lit(str(seed)), F.lit(analysis), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
 
 
 def split_halves(ids: DataFrame, keys: Sequence[str] = ("question",), id_col: str = "respondent_id", n: int = SPLITS, analysis: str = "split", seed: int = SEED) -> DataFrame:
@@ -50,14 +60,57 @@ def bootstrap_entropy(df: DataFrame, keys: Sequence[str] = ("question", "dataset
 
     As many draws as ids. An id drawn several times counts once, unless ``multiplicity``. Groups
     of fewer than ``least`` ids have no rows.
+
+    A task draws one repetition of a group at a time, and sends bits (with ``multiplicity``, numbers)
+    for blocks of ids; where these meet the block's answers, all repetitions are counted at once, so
+    no id is a row once for each repetition.
     """
-    ids = df.select(*keys, id_col).distinct()
+    keys = list(keys)
+    ids = df.select(*keys, id_col).distinct().dropna(subset=keys)
     w = Window.partitionBy(*keys)
     ids = ids.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("slot", F.row_number().over(w.orderBy(id_col)) - 1).where(F.col("n") >= least)
-    reps = F.broadcast(repetitions(df.sparkSession, n))
-    pick = F.conv(F.substring(draw("bootstrap", seed, *keys, "rep", "slot"), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = ids.crossJoin(reps).select(*keys, "rep", pick.alias("slot")).groupBy(*keys, "rep", "slot").agg(F.count(F.lit(1)).alias("times"))
-    chosen = drawn.join(ids.select(*keys, "slot", id_col), [*keys, "slot"]).select(*keys, "rep", id_col, "times")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    keyed = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of tasks, as adaptive execution would join tasks that read little but work long
+    groups = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(repetitions(df.sparkSession, n))).withColumn("head", head_of("bootstrap", seed, *keys, "rep")).repartition(tasks, *keys, "rep")
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                *parts, size, rep, head = row
+                times = np.zeros(-(-size // BLOCK) * BLOCK, np.uint16)
+                for at in range(0, size, DRAWS):
+                    picks = digests(head, [b"%d" % i for i in range(at, min(size, at + DRAWS))])["high"] >> np.uint64(32)
+                    np.add.at(times, (picks % np.uint64(size)).astype(np.int64), 1)
+                blocks = times.reshape(-1, BLOCK)
+                sent = [b.tobytes() if multiplicity else np.packbits(b > 0).tobytes() for b in blocks]
+                yield pd.DataFrame({**{k: [p] * len(sent) for k, p in zip(keys, parts)}, "block": np.arange(len(sent)), "rep": np.int32(rep), "times": sent})
+
+    picked = groups.mapInPandas(drawn, keyed + ", block long, rep int, times binary")
     answers = df.where(F.col(value).isNotNull()).groupBy(*keys, id_col, value).agg(F.count(F.lit(1)).alias("c"))
-    weighted = chosen.join(answers, [*keys, id_col]).withColumn("w", F.col("c") * (F.col("times") if multiplicity else F.lit(1)))
-    return normalized_entropy(weighted, [*keys, "rep"], value, weight="w").select(*keys, "rep", "entropy")
+    placed = answers.join(ids.select(*keys, id_col, "slot"), [*keys, id_col])
+    placed = placed.select(*keys, F.floor(F.col("slot") / BLOCK).alias("block"), (F.col("slot") % BLOCK).alias("at"), F.col(value).alias("key"), "c")
+
+    def counted(key: tuple, found: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+        columns = [*keys, "key", "counts"]
+        if found.empty or sides.empty:
+            return pd.DataFrame(columns=columns)
+        code, names = pd.factorize(found["key"])
+        order = np.argsort(code, kind="stable")
+        code, at, c = code[order], found["at"].to_numpy(np.int64)[order], found["c"].to_numpy(np.int64)[order]
+        sides = sides.sort_values("rep")
+        read = (lambda b: np.frombuffer(b, np.uint16)) if multiplicity else (lambda b: np.unpackbits(np.frombuffer(b, np.uint8)))
+        times = np.ascontiguousarray(np.stack([read(b) for b in sides["times"]]).T)
+        out = []
+        for i in range(0, len(at), BLOCK):
+            part = code[i : i + BLOCK]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            sums = np.add.reduceat(times[at[i : i + BLOCK]] * c[i : i + BLOCK, None], starts, axis=0)
+            out += [[*key[:-1], names[part[s]], row] for s, row in zip(starts, sums)]
+        return pd.DataFrame(out, columns=columns)
+
+    # a row for each block and answer with the counts of all repetitions; what is exploded is as much as the entropy takes
+    counts = placed.groupBy(*keys, "block").cogroup(picked.groupBy(*keys, "block")).applyInPandas(counted, keyed + f", key {kinds[value]}, counts array<long>")
+    weighted = counts.select(*keys, "key", F.posexplode("counts").alias("rep", "w")).where("w > 0")
+    return normalized_entropy(weighted, [*keys, "rep"], "key", weight="w").select(*keys, "rep", "entropy")

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import math
 
@@ -117,3 +118,24 @@ def many(spark, n):
 def test_permutations_of_more_vectors_than_a_task_holds(spark):
     got = vectors.permutation_test(many(spark, 3100), n=3).collect()
     assert len(got) == 1 and got[0].value >= 0 and got[0].p >= 0.25
+
+
+def test_bootstrap_equals_the_loop_and_rows_are_no_draws(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK", 8)
+    ids = [f"r{i:02d}" for i in range(21)]
+    rows = [("q", "human", d, f"k{(i * j) % 5}" if (i + j) % 4 else None) for i, d in enumerate(ids) for j in range(i % 3 + 1)]
+    df = spark.createDataFrame([*rows, ("q", None, "r00", "k0")], "question string, dataset string, respondent_id string, key string")
+    for multiplicity in (False, True):
+        frame = resample.bootstrap_entropy(df, n=7, multiplicity=multiplicity)
+        got = {r.rep: r.entropy for r in frame.collect()}
+        for rep in range(7):
+            picks = [int(hashlib.md5(f"42|bootstrap|q|human|{rep}|{s}".encode()).hexdigest()[:8], 16) % 21 for s in range(21)]
+            times = collections.Counter(picks)
+            c = collections.Counter()
+            for _, _, d, k in rows:
+                if k is not None:
+                    c[k] += min(times[ids.index(d)], 9 if multiplicity else 1)
+            c = [x for x in c.values() if x]
+            assert got[rep] == pytest.approx(-sum(x / sum(c) * math.log(x / sum(c)) for x in c) / math.log(len(c)), abs=1e-9)
+        # a draw was a row of a shuffle: ids times repetitions
+        assert "PythonMapInPandas" in frame._jdf.queryExecution().toString() or "MapInPandas" in frame._jdf.queryExecution().toString()
