@@ -6,6 +6,7 @@ order of these digests.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import finite
 from ..schema import BOOTSTRAPS, MIN_IDS, SEED, SPLITS
 from .agg import normalized_entropy
-from .vectors import digests
+from .vectors import DIGEST, bare_digests, digests
 
 #: Ids of a block, and draws that a task makes at once.
 BLOCK, DRAWS = 4096, 65536
@@ -45,14 +46,67 @@ def split_halves(ids: DataFrame, keys: Sequence[str] = ("question",), id_col: st
 
 
 def split_half_mean(df: DataFrame, keys: Sequence[str] = ("question",), id_col: str = "respondent_id", value: str = "value", n: int = SPLITS, analysis: str = "split", seed: int = SEED) -> DataFrame:
-    """keys, rep and value: the noise floor of a mean difference, half A less half B."""
-    ids = df.select(*keys, id_col).distinct()
-    halves = split_halves(ids, keys, id_col, n, analysis, seed)
-    # rows of one id are summed first, so each id is joined once
-    per_id = df.groupBy(*keys, id_col).agg(F.sum(finite(F.col(value))).alias("s"), F.count(finite(F.col(value))).cast("double").alias("c"))
-    on = halves.join(per_id, [*keys, id_col])
-    mean = lambda h: F.try_divide(F.sum(F.when(F.col("half") == h, F.col("s"))), F.sum(F.when(F.col("half") == h, F.col("c"))))
-    return on.groupBy(*keys, "rep").agg((mean("A") - mean("B")).alias("value"))
+    """keys, rep and value: the noise floor of a mean difference, half A less half B, of the halves
+    that ``split_halves`` gives.
+
+    Digests are spread evenly, so the one that parts the halves lies close to the middle: ten
+    standard deviations of its rank on either side. Ids below or above are summed where they are,
+    for all repetitions at once, and only those between are ranked. So a task holds a batch of ids,
+    and what is sorted grows as the root of the ids. If the parting digest ever were outside, an
+    error would say so.
+    """
+    keys = list(keys)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows of one id are summed first, so each id is drawn once
+    per_id = df.groupBy(*keys, id_col).agg(F.sum(finite(F.col(value))).cast("double").alias("s"), F.count(finite(F.col(value))).cast("double").alias("c")).dropna(subset=keys)
+    sizes = per_id.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # an id that is null has its place in a half, but no values
+    known = F.col(id_col).isNotNull()
+    placed = per_id.join(sizes, keys).select(*keys, "n", F.col(id_col).cast("string").alias("id"), F.when(known, F.col("s")).alias("s"), F.when(known, F.col("c")).otherwise(F.lit(0.0)).alias("c"), head_of(analysis, seed, *keys).alias("head"))
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    sums = ("under", "sa", "ca", "sb", "cb")
+
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby([*keys, "n", "head"], sort=False):
+                size, head = int(key[-2]), key[-1]
+                low, high = _window(size)
+                at = held.setdefault(key[:-1], np.zeros((len(sums), n)))
+                ends = [b"" if i is None else b"|" + i.encode() for i in part["id"]]
+                value, count = part["s"].fillna(0.0).to_numpy(np.float64), part["c"].to_numpy(np.float64)
+                between = []
+                for rep in range(n):
+                    d = bare_digests(f"{head}|{rep}".encode(), ends)
+                    under, over = d["high"] < low, d["high"] > high
+                    at[:, rep] += under.sum(), value[under].sum(), count[under].sum(), value[over].sum(), count[over].sum()
+                    rows = np.flatnonzero(~(under | over))
+                    between.append((np.full(len(rows), rep, np.int32), rows, d[rows]))
+                rows = np.concatenate([r for _, r, _ in between])
+                # numpy joins records in the machine's order of bytes
+                d = np.concatenate([x for _, _, x in between]).astype(DIGEST)
+                yield pd.DataFrame({**dict(zip(keys, key)), "n": size, "rep": np.concatenate([r for r, _, _ in between]), "digest": [x.tobytes() for x in d], "id": part["id"].to_numpy()[rows], "under": 0.0, "s": value[rows], "c": count[rows], "sa": 0.0, "ca": 0.0, "sb": 0.0, "cb": 0.0})
+        for key, at in held.items():
+            yield pd.DataFrame({**dict(zip(keys, key)), "n": int(key[-1]), "rep": np.arange(n, dtype=np.int32), "digest": None, "id": None, "s": 0.0, "c": 0.0, **dict(zip(sums, at))})
+
+    keyed = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+    # a number of tasks, as adaptive execution would join tasks that read little but work long
+    found = placed.repartition(tasks, *keys, "id").mapInPandas(parted, keyed + ", n long, rep int, digest binary, id string, s double, c double, " + ", ".join(f"{x} double" for x in sums))
+    group = Window.partitionBy(*keys, "rep")
+    between = F.col("digest").isNotNull()
+    rank = F.sum(between.cast("long")).over(group.orderBy(F.col("digest").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    half, under = F.floor(F.col("n") / 2), F.sum("under").over(group)
+    ranked = found.withColumn("_a", between & (under + rank <= half)).withColumn("_ok", (under <= half) & (under + F.sum(between.cast("long")).over(group) >= half))
+    add = lambda x, h: F.sum(F.col(f"{x}{h}") + F.when(between & (F.col("_a") if h == "a" else ~F.col("_a")), F.col(x)).otherwise(F.lit(0.0)))
+    out = ranked.groupBy(*keys, "rep").agg((F.try_divide(add("s", "a"), add("c", "a")) - F.try_divide(add("s", "b"), add("c", "b"))).alias("value"), F.min("_ok").alias("_ok"))
+    return out.select(*keys, "rep", F.when(F.col("_ok"), F.col("value")).otherwise(F.raise_error(F.lit("the parting digest is outside of its window")).cast("double")).alias("value"))
+
+
+def _window(size: int, deviations: float = 10.0) -> tuple[np.uint64, np.uint64]:
+    """Between which first halves of a digest the one that parts ``size`` ids is."""
+    share = (size // 2) / size
+    reach = deviations * math.sqrt(share * (1 - share) / size) + 2 / size
+    return np.uint64(max(0, int((share - reach) * 2**64))), np.uint64(min(2**64 - 1, int((share + reach) * 2**64)))
 
 
 def bootstrap_entropy(df: DataFrame, keys: Sequence[str] = ("question", "dataset"), id_col: str = "respondent_id", value: str = "key", n: int = BOOTSTRAPS, seed: int = SEED, least: int = MIN_IDS, multiplicity: bool = False) -> DataFrame:

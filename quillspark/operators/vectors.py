@@ -22,6 +22,8 @@ BLOCK = 2048
 #: Vectors of a block where sides are shuffled, rows of distances that are worked on at once, and
 #: shuffles that a task draws.
 SHUFFLED, STRIP, DRAWN = 4096, 512, 40
+#: A digest as two numbers in its own order.
+DIGEST = np.dtype([("high", ">u8"), ("low", ">u8")])
 
 
 def pair_means(v: DataFrame, keys: Sequence[str], baseline: str = BASELINE, block: int = BLOCK) -> DataFrame:
@@ -114,8 +116,11 @@ def shuffles(rows: Sequence[str], n: int, reps: int, seed: int, analysis: str, p
 
 def digests(head: str, ends: Sequence[bytes]) -> np.ndarray:
     """The MD5 digests of head, a bar and each end, as two big-endian numbers."""
-    start = f"{head}|".encode()
-    return np.frombuffer(b"".join([hashlib.md5(start + end).digest() for end in ends]), [("high", ">u8"), ("low", ">u8")])
+    return bare_digests(f"{head}|".encode(), ends)
+
+
+def bare_digests(start: bytes, ends: Sequence[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.md5(start + end).digest() for end in ends]), DIGEST)
 
 
 def _pair_sums(z: Sequence[np.ndarray], sides: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:

@@ -139,3 +139,18 @@ def test_bootstrap_equals_the_loop_and_rows_are_no_draws(spark, monkeypatch):
             assert got[rep] == pytest.approx(-sum(x / sum(c) * math.log(x / sum(c)) for x in c) / math.log(len(c)), abs=1e-9)
         # a draw was a row of a shuffle: ids times repetitions
         assert "PythonMapInPandas" in frame._jdf.queryExecution().toString() or "MapInPandas" in frame._jdf.queryExecution().toString()
+
+
+def test_split_half_means_equal_the_loop(spark):
+    rows = [("q", f"r{i:04d}", float(i * i % 7) if i % 5 else None) for i in range(3001)] + [("few", f"r{i}", float(i)) for i in range(3)] + [("q", "r0001", 2.5), (None, "r0001", 9.0)]
+    df = spark.createDataFrame(rows, "question string, respondent_id string, value double")
+    frame = resample.split_half_mean(df, n=6)
+    got = {(r.question, r.rep): r.value for r in frame.collect()}
+    assert len(got) == 12
+    for (q, rep), value in got.items():
+        ids = sorted({d for k, d, _ in rows if k == q}, key=lambda d: hashlib.md5(f"42|split|{q}|{rep}|{d}".encode()).hexdigest())
+        first = set(ids[: len(ids) // 2])
+        mean = lambda side: np.mean([v for k, d, v in rows if k == q and v is not None and (d in first) == side])
+        assert value == pytest.approx(mean(True) - mean(False), abs=1e-9)
+    # what is ranked are the ids around the middle, not every id once for each repetition
+    assert "CartesianProduct" not in (plan := frame._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in plan
