@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -15,17 +15,44 @@ from ..functions.numeric import chi2_tail1, chi2_tail2, chi2_tail3, erfc, finite
 from ..schema import BASELINE
 
 
-def bh_adjust(df: DataFrame, family: Sequence[str] = (), p: str = "p", out: str = "p_adj", ties: Sequence[str] = ()) -> DataFrame:
+def bh_adjust(df: DataFrame, family: Sequence[str] = (), p: str = "p", out: str = "p_adj", ties: Sequence[str] = (), few: bool = False) -> DataFrame:
     """Benjamini-Hochberg: the least of p * n / rank over the ranks from here on, at most 1.
 
     Null and NaN p count as 1. ``family`` columns say which tests belong together.
+
+    Equal p have one result, that of the last of their ranks, so ranks are worked out over the counts
+    of distinct p, in stretches of p (see ``_stretch``), and looked up by p; ``ties`` don't matter
+    then. So no task sorts a family, but ``df`` is read twice. Where families are known to be a few
+    tests that are costly to work out, ``few`` ranks the rows themselves.
     """
     value = F.coalesce(finite(F.col(p)), F.lit(1.0))
-    order = Window.partitionBy(*family).orderBy(value, *ties)
-    ranked = df.withColumn("_p", value).withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*family)))
-    # from the greatest p down, so the running minimum is one pass
-    tail = Window.partitionBy(*family).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn(out, F.least(F.min(F.col("_p") * F.col("_n") / F.col("_r")).over(tail), F.lit(1.0))).drop("_p", "_r", "_n")
+    if few:
+        order = Window.partitionBy(*family).orderBy(value, *ties)
+        ranked = df.withColumn("_p", value).withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*family)))
+        # from the greatest p down, so the running minimum is one pass
+        tail = Window.partitionBy(*family).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return ranked.withColumn(out, F.least(F.min(F.col("_p") * F.col("_n") / F.col("_r")).over(tail), F.lit(1.0))).drop("_p", "_r", "_n")
+    names = [f"_f{i}" for i in range(len(family))]
+    counts = df.select(*[F.col(c).alias(f) for c, f in zip(family, names)], (value + F.lit(0.0)).alias("_p")).groupBy(*names, "_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_s", _stretch(F.col("_p")))
+    whole = Window.partitionBy(*names)
+    alike = lambda x, y: [F.col(f"{x}.{f}").eqNullSafe(F.col(f"{y}.{f}")) for f in names]
+    # the stretches of a family are a few thousand rows at most
+    stretches = counts.groupBy(*names, "_s").agg(F.sum("_c").alias("_t"))
+    stretches = stretches.withColumn("_before", F.sum("_t").over(whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_t")).withColumn("_n", F.sum("_t").over(whole)).drop("_t")
+    inside = Window.partitionBy(*names, "_s")
+    ranked = counts.alias("c").join(stretches.alias("s"), [*alike("c", "s"), F.col("c._s") == F.col("s._s")]).select("c.*", "_before", "_n")
+    ranked = ranked.withColumn("_r", F.col("_before") + F.sum("_c").over(inside.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_v", F.col("_p") * F.col("_n") / F.col("_r"))
+    after = ranked.groupBy(*names, "_s").agg(F.min("_v").alias("_m"))
+    after = after.withColumn("_m", F.min("_m").over(whole.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)))
+    least = ranked.alias("c").join(after.alias("s"), [*alike("c", "s"), F.col("c._s") == F.col("s._s")]).select("c.*", "_m")
+    least = least.withColumn("_v", F.least(F.min("_v").over(inside.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_m", F.lit(1.0))).select(*names, F.col("_p").alias("_q"), F.col("_v").alias(out))
+    rows = df.drop(out).withColumn("_p", value + F.lit(0.0))
+    return rows.join(least, [*[F.col(c).eqNullSafe(F.col(f)) for c, f in zip(family, names)], F.col("_p") == F.col("_q")]).drop("_p", "_q", *names)
+
+
+def _stretch(p: Column) -> Column:
+    """A whole number that grows with p: 4096 even stretches above 1/4096, one for each halving below."""
+    return F.when(p >= 1 / 4096, F.least(F.floor(p * 4096), F.lit(4096))).when(p > 0, F.greatest(F.floor(F.log2(p)), F.lit(-1100))).otherwise(F.lit(-1101)).cast("int")
 
 
 def rank_sums(df: DataFrame, keys: Sequence[str], side: str, value: str, group: str = "dataset", baseline: str = BASELINE) -> DataFrame:

@@ -15,7 +15,7 @@ from ..schema import BASELINE, KEPT_WORDS, MIN_IDS, SPLITS
 
 
 def _adjusted(df: DataFrame, family: Sequence[str] = ("question",)) -> DataFrame:
-    return stats.bh_adjust(df, family, ties=("dataset",)).withColumn("stars", stars(F.col("p_adj")))
+    return stats.bh_adjust(df, family, ties=("dataset",), few=True).withColumn("stars", stars(F.col("p_adj")))
 
 
 def embedding_fidelity(emb: DataFrame, n: int = 800, seed: int = 42) -> DataFrame:
@@ -79,7 +79,7 @@ def skepticism(df: DataFrame, exact: bool = True, least: int = 5) -> DataFrame:
     enough = df.where((F.col("dataset") == BASELINE) & finite(F.col("value")).isNotNull()).agg((F.count(F.lit(1)) >= least).alias("ok"))
     rows = df.withColumn("all", F.lit("S"))
     tests = stats.mann_whitney(rows, keys=("all",), exact=exact, means=True).withColumn("shift", F.col("mean") - F.col("base_mean"))
-    out = stats.bh_adjust(tests, ("all",), ties=("dataset",))
+    out = stats.bh_adjust(tests, ("all",), ties=("dataset",), few=True)
     return out.crossJoin(F.broadcast(enough)).where("ok").select("dataset", F.col("shift").alias("mean_diff_vs_human"), "p", "p_adj")
 
 

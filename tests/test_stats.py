@@ -144,3 +144,12 @@ def test_box_of_groups_without_values(spark):
     rows = [("q1", "human", 1.0), ("q1", "human", 3.0), ("q1", "human", math.nan), ("q1", "human", None), ("q1", "llama", None), (None, "human", 2.0)]
     got = {(r.question, r.dataset): (r.n, r.median, r.whisker_low, r.whisker_high) for r in agg.box_summary(spark.createDataFrame(rows, "question string, dataset string, value double")).collect()}
     assert got == {("q1", "human"): (2, 2.0, 1.0, 3.0), (None, "human"): (1, 2.0, 2.0, 2.0)}
+
+
+def test_bh_ranks_distinct_p_and_not_rows(spark):
+    ps = [None, float("nan"), 0.0, 0.0, 1.0, 3e-300, 1e-12, 1e-12] + [((i * 7919) % 1000) ** 2 / 1e6 for i in range(700)]
+    df = spark.createDataFrame([(f, i, p) for f in ("a", None) for i, p in enumerate(ps)], "family string, i int, p double")
+    frame = stats.bh_adjust(df, ("family",), ties=("i",))
+    few = {(r.family, r.i): r.p_adj for r in stats.bh_adjust(df, ("family",), ties=("i",), few=True).collect()}
+    assert {(r.family, r.i): r.p_adj for r in frame.collect()} == few and len(few) == 2 * len(ps) and frame.columns == ["family", "i", "p", "p_adj"]
+    assert "row_number" not in frame._jdf.queryExecution().toString()
