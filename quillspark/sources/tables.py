@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.text import safe
 from ..schema import FEATURE_TABLES, LEXICON
 
+#: Datasets whose files a task keeps open in a write, and bytes of their row groups.
+OPEN_FILES, ROW_GROUP = 16, 16 << 20
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share. Where
@@ -102,10 +106,30 @@ def read_set_literal(spark: SparkSession, path: str, min_chars: int = 10) -> Dat
 
 
 def write_features(tables: Mapping[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Feature tables as Parquet, each partitioned by dataset where it has that column."""
+    """Feature tables as Parquet, each partitioned by dataset where it has that column.
+
+    A task keeps a file open for each of up to ``OPEN_FILES`` datasets, so rows needn't be sorted by
+    dataset first, which would hold them all; with more datasets, what comes for the others is
+    sorted. Row groups are small, as those of all open files are in memory.
+    """
     for name, df in tables.items():
-        writer = df.write.mode(mode)
-        (writer.partitionBy("dataset") if "dataset" in df.columns else writer).parquet(f"{path}/{name}")
+        with _unsorted_writes(df.sparkSession):
+            writer = df.write.mode(mode).option("parquet.block.size", ROW_GROUP)
+            (writer.partitionBy("dataset") if "dataset" in df.columns else writer).parquet(f"{path}/{name}")
+
+
+@contextmanager
+def _unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """Writes inside keep files of several partitions open. Planned writes would sort all the same."""
+    wanted = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES), "spark.sql.optimizer.plannedWrite.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_features(spark: SparkSession, path: str, datasets: Sequence[str] | None = None, names: Sequence[str] = FEATURE_TABLES) -> dict[str, DataFrame]:
