@@ -22,6 +22,8 @@ from ..schema import EMOTIONS, LIKERT_TEXTS, SENTIMENT
 QUESTIONS = tuple(f"q{i}" for i in range(1, 20))
 TEACHERS = ("Insegnante di sostegno", "Insegnante curricolare")
 UPPER = "Secondaria di II grado"
+#: Characters of texts that are annotated at once.
+PIECE = 1 << 16
 
 
 class Responder(Protocol):
@@ -207,9 +209,22 @@ def labelled(texts: DataFrame, responder: Callable[[], Responder], column: str =
     return out.withColumn("emotions", tx.known_emotions(F.col("emotions")))
 
 
+def pieces(texts: Sequence[str | None]) -> Iterator[slice]:
+    """Stretches of texts of ``PIECE`` characters or one text."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text or "") > PIECE:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def annotated(df: DataFrame, backend: Callable[[], TextBackend] = RegexBackend, column: str = "normalized_raw") -> DataFrame:
     """Adds words, lemmas, n_sentences and n_unknown by a language pipeline; null counts as empty.
-    The columns replace those of the same names."""
+    The columns replace those of the same names. Words take many times the memory of their text, so
+    they are sent on after every ``PIECE`` characters."""
     new = ("words", "lemmas", "n_sentences", "n_unknown")
     df = df.drop(*new)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -217,8 +232,10 @@ def annotated(df: DataFrame, backend: Callable[[], TextBackend] = RegexBackend,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = backend()
         for pdf in batches:
-            texts = ["" if pd.isna(t) else t for t in pdf[column]]
-            words = [model.words(t) for t in texts]
-            yield pdf.assign(words=[[w[0] for w in ws] for ws in words], lemmas=[[w[1] for w in ws] for ws in words], n_sentences=[len(model.sentences(t)) for t in texts], n_unknown=[sum(not w[2] for w in ws) for ws in words])
+            every = ["" if pd.isna(t) else t for t in pdf[column]]
+            for part in pieces(every):
+                texts = every[part]
+                words = [model.words(t) for t in texts]
+                yield pdf.iloc[part].assign(words=[[w[0] for w in ws] for ws in words], lemmas=[[w[1] for w in ws] for ws in words], n_sentences=[len(model.sentences(t)) for t in texts], n_unknown=[sum(not w[2] for w in ws) for ws in words])
 
     return df.mapInPandas(run, kinds + ", words array<string>, lemmas array<string>, n_sentences int, n_unknown int")
