@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import keyness, resample, vectors
+from quillspark.plans import analyses
 
 
 def unit(rng, n, shift=0.0):
@@ -154,3 +155,8 @@ def test_split_half_means_equal_the_loop(spark):
         assert value == pytest.approx(mean(True) - mean(False), abs=1e-9)
     # what is ranked are the ids around the middle, not every id once for each repetition
     assert "CartesianProduct" not in (plan := frame._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_halves_of_more_vectors_than_a_task_holds(spark):
+    got = vectors.split_half_energy(many(spark, 3100).drop("dataset"), n=3).collect()
+    assert sorted(r.rep for r in got) == [0, 1, 2] and all(0 <= r.value < 0.01 for r in got)
