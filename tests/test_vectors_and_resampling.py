@@ -160,3 +160,8 @@ def test_split_half_means_equal_the_loop(spark):
 def test_halves_of_more_vectors_than_a_task_holds(spark):
     got = vectors.split_half_energy(many(spark, 3100).drop("dataset"), n=3).collect()
     assert sorted(r.rep for r in got) == [0, 1, 2] and all(0 <= r.value < 0.01 for r in got)
+
+
+def test_both_forms_agree_on_more_vectors_than_a_task_holds(spark):
+    df = many(spark, 3100)
+    assert vectors.permutation_test(df, n=1).first().value == pytest.approx(vectors.energy_distance(df).first().value, abs=1e-9)
