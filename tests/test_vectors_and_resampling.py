@@ -165,3 +165,10 @@ def test_halves_of_more_vectors_than_a_task_holds(spark):
 def test_both_forms_agree_on_more_vectors_than_a_task_holds(spark):
     df = many(spark, 3100)
     assert vectors.permutation_test(df, n=1).first().value == pytest.approx(vectors.energy_distance(df).first().value, abs=1e-9)
+
+
+def test_subgroups_of_more_vectors_than_a_task_holds(spark):
+    df = many(spark, 3100).withColumn("respondent_id", F.col("id"))
+    people = df.select(F.lit("human").alias("dataset"), "respondent_id", F.lit("Sostegno").alias("ruolo_2"), F.lit(None).cast("string").alias("grado_2"), F.lit(None).cast("string").alias("esperienza_2"))
+    tests = analyses.subgroup_analyses(people, {"embeddings": df})["embedding_fidelity"].collect()
+    assert [(r.bin, r.question, r.dataset) for r in tests] == [("Sostegno", "q1", "far")] and tests[0].p_adj <= 1
