@@ -172,3 +172,10 @@ def test_subgroups_of_more_vectors_than_a_task_holds(spark):
     people = df.select(F.lit("human").alias("dataset"), "respondent_id", F.lit("Sostegno").alias("ruolo_2"), F.lit(None).cast("string").alias("grado_2"), F.lit(None).cast("string").alias("esperienza_2"))
     tests = analyses.subgroup_analyses(people, {"embeddings": df})["embedding_fidelity"].collect()
     assert [(r.bin, r.question, r.dataset) for r in tests] == [("Sostegno", "q1", "far")] and tests[0].p_adj <= 1
+
+
+def test_entropy_delta_makes_no_row_of_a_draw(spark):
+    rows = [("q", d, i, f"k{i % k}") for d, k in (("human", 4), ("gpt", 3)) for i in range(12)]
+    out = analyses.entropy_delta(spark.createDataFrame(rows, "question string, dataset string, respondent_id long, key string"), n=20)
+    assert "bootstrap" in (plan := out._jdf.queryExecution().toString()) and "md5(" not in plan
+    assert [(r.dataset, r.value) for r in out.collect()] == [("gpt", pytest.approx(0, abs=1e-9))]
